@@ -35,7 +35,7 @@ CACHE_PARTS = 150_000  # parts remembered by a Python worker; the table is empti
 BATCH_IDS = 1 << 20
 
 _PART = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　﻿]")
+_ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -91,12 +91,13 @@ class Words:
     first: np.ndarray  # for each row, its first word; one entry more than rows
 
 
-def words(s: Slice) -> Words:
+def words(s: Slice, gap: np.ndarray = _SPACE) -> Words:
+    """The words of each row; ``gap`` marks the bytes between words."""
     n = len(s.buf)
     if n == 0:
         none = np.zeros(0, np.int64)
         return Words(none, none, none, np.zeros(s.hi - s.lo + 1, np.int64))
-    solid = ~_SPACE[s.buf]
+    solid = ~gap[s.buf]
     cut = np.zeros(n + 1, bool)
     cut[s.offsets] = True
     start = np.empty(n, bool)
