@@ -336,6 +336,12 @@ def clustered(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
     return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
+def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs without those that are not the first of their component; rows without an id stay."""
+    gone = clustered(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "documents"))
 
