@@ -6,9 +6,10 @@ pass two cuts the one long run into windows of ``length`` ids with a record for
 last window can be shorter.
 
 Ids come from the ``tokenizers`` file. Its pre-tokeniser never joins a visible character to a
-following white space, so a text is encoded in parts of the form "white space, then visible
-characters", and a bounded table remembers the ids of parts met before. A text with white space
-outside ASCII is encoded whole, as the argument does not hold there.
+following white space, nor a letter to a following punctuation mark, nor a lone line end to what
+follows, so a text is encoded in parts cut at such places, and a bounded table remembers the ids of
+short parts met before. A text with white space outside ASCII is encoded whole, as the argument does
+not hold there.
 
 Defined cases: a null or empty text is the end id alone; a null doc_id stays null; repeated rows are
 packed each; an empty table gives no piece; other columns are ignored.
@@ -16,9 +17,12 @@ packed each; an empty table gives no piece; other columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,15 +30,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import tokens as T
 from .shared import table, written
 
 LENGTH = 1024
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"  # of public_tokenizers
-CACHE_PARTS = 150_000  # parts remembered by a Python worker; the table is emptied when full
-BATCH_IDS = 1 << 20
+CACHE_PARTS, SHORT = 500_000, 12  # short parts (in characters) remembered by a Python worker; the table is emptied when full
+BATCH_IDS, BATCH_BYTES = 1 << 20, 1 << 18
 
-_PART = re.compile(r"[ \t\n\r\f\v]*[^ \t\n\r\f\v]+|[ \t\n\r\f\v]+")
+_WS = r" \t\n\r\f\v"
+_LETTERS = "A-Za-z" + "".join(map(chr, (0xC0, 45, 0xD6, 0xD8, 45, 0xF6, 0xF8, 45, 0x24F)))
+_PART = re.compile(rf"\n(?![{_WS}])|[{_WS}]*(?:[{_LETTERS}]+(?=[{_WS}.,;:!?*$%&#|]|\Z)|[^{_WS}]+)|[{_WS}]+")
 _ODD_SPACE = re.compile("[" + "".join(map(chr, (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF))) + "]")
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -49,41 +56,68 @@ class Encoder:
     """Ids of texts, equal to ``Tokenizer.encode(text, add_special_tokens=False)``."""
 
     def __init__(self, path: str, cache: int = CACHE_PARTS) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would hold memory
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.known = Tokenizer.from_file(path), cache, {}
-
-    def _learn(self, parts: set[str]) -> None:
-        if len(self.known) + len(parts) > self.cache:
-            self.known.clear()
-        todo = list(parts)
-        for part, e in zip(todo, self.tokenizer.encode_batch(todo, add_special_tokens=False), strict=True):
-            self.known[part] = np.array(e.ids, np.uint32).tobytes()
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if _ODD_SPACE.search(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32).tobytes()
-        out = []
-        parts = _PART.findall(text)
-        for i in range(0, len(parts), 50_000):  # so that the table holds what one step needs
-            some = parts[i : i + 50_000]
-            got = list(map(self.known.get, some))
-            if None in got:
-                self._learn({p for p, g in zip(some, got, strict=True) if g is None})
-                got = [g if g is not None else self.known.get(p) for p, g in zip(some, got, strict=True)]
-                if None in got:
-                    self._learn({p for p, g in zip(some, got, strict=True) if g is None})
-                    got = [g if g is not None else self.known[p] for p, g in zip(some, got, strict=True)]
-            out += got
-        return b"".join(out)
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.leads = np.zeros(max(vocab.values()) + 1, bool)  # ids whose bytes begin with a space
+        self.leads[[i for t, i in vocab.items() if t[0] == "\u0120"]] = True
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of different parts. Words after one space are encoded many at once: of their ids only the first of each word begins with a space."""
+        spaced = [p for p in parts if p[0] == " " and p[1:2].strip()]
+        runs = [spaced[i : i + 200] for i in range(0, len(spaced), 200)]
+        rest, out = [p for p in parts if not (p[0] == " " and p[1:2].strip())], {}
+        for run, ids in zip(runs, self._ids(["".join(r) for r in runs]), strict=True):
+            at = np.flatnonzero(self.leads[ids])
+            if len(at) == len(run):
+                raw, ends = ids.tobytes(), [*(at[1:] * 4).tolist(), 4 * len(ids)]
+                out.update(zip(run, (raw[a:b] for a, b in zip((at * 4).tolist(), ends, strict=True)), strict=True))
+            else:
+                rest += run
+        out.update(zip(rest, (x.tobytes() for x in self._ids(rest)), strict=True))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
+        split = [None if _ODD_SPACE.search(t) else _PART.findall(t) for t in texts]
+        parts = list(chain.from_iterable(p for p in split if p))
+        got = list(map(self.known.get, parts))
+        missing = [i for i, x in enumerate(got) if x is None]
+        fresh = {}
+        todo = list({parts[i] for i in missing})
+        for i in range(0, len(todo), 50_000):
+            fresh |= self._encoded(todo[i : i + 50_000])
+        for i in missing:
+            got[i] = fresh[parts[i]]
+        if len(self.known) > self.cache:
+            self.known = {}
+        self.known.update((p, x) for p, x in fresh.items() if len(p) <= SHORT)
+        whole, at, out = iter(self._ids([t for t, p in zip(texts, split, strict=True) if p is None])), 0, []
+        for own in split:
+            if own is None:
+                out.append(next(whole).tobytes())
+            else:
+                out.append(b"".join(got[at : at + len(own)]))
+                at += len(own)
+        return out
+
+
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One encoder a Python worker, so that its table serves all tasks."""
+    return Encoder(path)
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFrame:
     """doc_id, part (the task), before (ids of that task before this document), n_tokens, ids (binary, unsigned 32-bit; 16-bit where all fit)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, before = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, before = _encoder(path), TaskContext.get().partitionId(), 0
         end = b"" if end_id is None else np.array([end_id], np.uint32).tobytes()
         keep: dict[str, list] = {"doc_id": [], "before": [], "n_tokens": [], "ids": []}
         held = 0
@@ -93,16 +127,18 @@ def tokenized(docs: DataFrame, path: str, end_id: int | None = END_ID) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array(keep["doc_id"], pa.int64()), pa.array(np.full(n, part), pa.int32()), pa.array(keep["before"], pa.int64()), pa.array(keep["n_tokens"], pa.int64()), pa.array(keep["ids"], pa.binary())], ["doc_id", "part", "before", "n_tokens", "ids"])
 
         for b in batches:
-            for doc, text in zip(b.column(0), b.column(1), strict=True):
-                ids = encoder.encode(text.as_py() or "") + end
-                n = len(ids) // 4
-                wide = np.frombuffer(ids, np.uint32)
-                if n and wide.max() < 1 << 16:
-                    ids = wide.astype(np.uint16).tobytes()
-                for k, v in (("doc_id", doc.as_py()), ("before", before), ("n_tokens", n), ("ids", ids)):
-                    keep[k].append(v)
-                before += n
-                held += n
+            for s in T.slices(b.column(1), BATCH_BYTES):
+                texts = [s.text(i).decode() for i in range(s.hi - s.lo)]
+                for doc, ids in zip(b.column(0).slice(s.lo, s.hi - s.lo).to_pylist(), encoder.encode(texts), strict=True):
+                    ids += end
+                    n = len(ids) // 4
+                    wide = np.frombuffer(ids, np.uint32)
+                    if n and wide.max() < 1 << 16:
+                        ids = wide.astype(np.uint16).tobytes()
+                    for k, v in (("doc_id", doc), ("before", before), ("n_tokens", n), ("ids", ids)):
+                        keep[k].append(v)
+                    before += n
+                    held += n
                 if held >= BATCH_IDS:
                     yield batch()
                     keep, held = {k: [] for k in keep}, 0
