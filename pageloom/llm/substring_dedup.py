@@ -30,8 +30,10 @@ from .shared import table, written
 
 WINDOW = 13
 BLOCK_DOCS = 4096  # documents of a block, on average
-_FOUND = "h long, lo long, hi long, _block int"
-_BACK = "_block int, h long, lo long"
+#: What a block sends to a bucket: sorted hashes, the smallest doc_id with each, and a bit for those in several of its documents.
+_FOUND = "_bucket int, _block int, h binary, lo binary, several binary"
+#: What comes back: the hashes that repeat, with the smallest doc_id of all.
+_BACK = "_block int, h binary, lo binary"
 
 
 def _smallest(h: np.ndarray, k: int) -> np.ndarray:
@@ -49,17 +51,42 @@ def _inside(w: T.Words, k: int) -> np.ndarray:
     return w.doc[:n] == w.doc[k - 1 :] if n > 0 else np.zeros(0, bool)
 
 
-def _unique(h: list[np.ndarray], doc: list[np.ndarray], block: int) -> pa.Table:
-    """Each hash once, with the smallest and largest doc_id."""
+def _narrow(x: np.ndarray) -> bytes:
+    """Integers as their minimum and 32-bit differences, or as they are where those don't fit."""
+    if not len(x):
+        return b""
+    least = x.min()
+    if x.max() - least < 1 << 32 and x.max() != T.NO_ID:
+        return b"\x00" + np.int64(least).tobytes() + (x - least).astype(np.uint32).tobytes()
+    return b"\x01" + x.tobytes()
+
+
+def _wide(b: bytes) -> np.ndarray:
+    if not b:
+        return np.zeros(0, np.int64)
+    if b[0]:
+        return np.frombuffer(b, np.int64, offset=1)
+    return np.frombuffer(b, np.uint32, offset=9).astype(np.int64) + np.frombuffer(b, np.int64, 1, 1)[0]
+
+
+def _unique(h: list[np.ndarray], doc: list[np.ndarray], block: int, buckets: int) -> pa.Table:
+    """Each hash once, in a row for each bucket of hashes."""
     x, d = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((h, np.uint64), (doc, np.int64)))
     order = np.argsort(x, kind="stable")
     x, d = x[order], d[order]
     at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
     lo, hi = (f.reduceat(d, at) if len(at) else d for f in (np.minimum, np.maximum))
-    return pa.table({"h": x[at].view(np.int64), "lo": lo, "hi": hi, "_block": pa.array(np.full(len(at), block), pa.int32())})
+    x, several = x[at], lo < hi
+    bucket = ((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    own, first = np.unique(bucket, return_index=True)
+    spans = list(zip(first.tolist(), [*first.tolist(), len(x)][1:], strict=True))
+    return pa.table({
+        "_bucket": pa.array(own.astype(np.int32)), "_block": pa.array(np.full(len(own), block), pa.int32()), "h": pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()),
+        "lo": pa.array([_narrow(lo[a:b]) for a, b in spans], pa.binary()), "several": pa.array([np.packbits(several[a:b]).tobytes() for a, b in spans], pa.binary()),
+    })
 
 
-def _half_windows(size: int):
+def _half_windows(size: int, buckets: int):
     """Level one: of each window of ``size`` words its half window with the smallest hash."""
     half = size // 2 + 1
 
@@ -78,13 +105,14 @@ def _half_windows(size: int):
             at = np.flatnonzero(chosen)
             hs.append(h[at])
             docs.append(ids[s.lo + w.doc[at]])
-        return _unique(hs, docs, key[0].as_py())
+        return _unique(hs, docs, key[0].as_py(), buckets)
 
     return one
 
 
 def _known(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    h, lo = t.column("h").to_numpy().view(np.uint64), t.column("lo").to_numpy()
+    h = np.frombuffer(b"".join(t.column("h").to_pylist()), np.uint64)
+    lo = np.concatenate([np.zeros(0, np.int64), *map(_wide, t.column("lo").to_pylist())])
     order = np.argsort(h)
     return h[order], lo[order]
 
@@ -96,7 +124,7 @@ def _find(known: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, known[at] == h
 
 
-def _windows(size: int, before: int, halves: bool):
+def _windows(size: int, before: int, halves: bool, buckets: int):
     """A later level: windows of ``size`` words both of whose parts of ``before`` words repeat, or whose chosen half does."""
 
     def one(key, t, back):
@@ -117,25 +145,35 @@ def _windows(size: int, before: int, halves: bool):
             at = np.flatnonzero(ok)
             hs.append(T.window_hashes(wh, size)[at])
             docs.append(ids[s.lo + w.doc[at]])
-        return _unique(hs, docs, key[0].as_py())
+        return _unique(hs, docs, key[0].as_py(), buckets)
 
     return one
 
 
 def _merge(t: pa.Table) -> pa.Table:
     """Of one bucket of hashes: those that are in two documents, back to each block that has them."""
-    h, lo, hi, block = (t.column(c).to_numpy() for c in ("h", "lo", "hi", "_block"))
+    hs = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
+    blocks = t.column("_block").to_pylist()
+    h, lo = np.concatenate(hs), np.concatenate([_wide(x) for x in t.column("lo").to_pylist()])
+    several = np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=len(v)) for x, v in zip(t.column("several").to_pylist(), hs, strict=True)]) > 0
+    row = np.repeat(np.arange(len(hs)), [len(v) for v in hs])
     order = np.argsort(h, kind="stable")
-    h, lo, hi, block = h[order], lo[order], hi[order], block[order]
+    h, lo, several, row = h[order], lo[order], several[order], row[order]
     at = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     size = np.diff(np.append(at, len(h)))
-    first, last = np.repeat(np.minimum.reduceat(lo, at), size), np.repeat(np.maximum.reduceat(hi, at), size)
-    twice = first < last
-    return pa.table({"_block": pa.array(block[twice], pa.int32()), "h": h[twice], "lo": first[twice]})
+    first = np.repeat(np.minimum.reduceat(lo, at), size)
+    # blocks share no doc_id, so that two rows are two documents
+    twice = np.repeat((size > 1) | np.logical_or.reduceat(several, at), size)
+    h, first, row = h[twice], first[twice], row[twice]
+    order = np.argsort(row, kind="stable")
+    h, first = h[order], first[order]
+    cut = np.searchsorted(row[order], np.arange(len(hs) + 1))
+    some = [i for i in range(len(hs)) if cut[i] < cut[i + 1]]
+    return pa.table({"_block": pa.array([blocks[i] for i in some], pa.int32()), "h": pa.array([h[cut[i] : cut[i + 1]].tobytes() for i in some], pa.binary()), "lo": pa.array([_narrow(first[cut[i] : cut[i + 1]]) for i in some], pa.binary())})
 
 
-def _repeated(found: DataFrame, buckets: int) -> DataFrame:
-    return found.withColumn("_bucket", F.pmod(F.col("h"), F.lit(buckets))).groupBy("_bucket").applyInArrow(_merge, _BACK)
+def _repeated(found: DataFrame) -> DataFrame:
+    return found.groupBy("_bucket").applyInArrow(_merge, _BACK)
 
 
 class Levels:
@@ -148,19 +186,19 @@ class Levels:
         self.docs = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
     def first(self, size: int) -> DataFrame:
-        return _repeated(self.docs.groupBy("_block").applyInArrow(_half_windows(size), _FOUND), self.buckets)
+        return _repeated(self.docs.groupBy("_block").applyInArrow(_half_windows(size, self.buckets), _FOUND))
 
     def next(self, back: DataFrame, size: int, before: int, halves: bool = False) -> DataFrame:
-        return _repeated(self.docs.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(_windows(size, before, halves), _FOUND), self.buckets)
+        return _repeated(self.docs.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(_windows(size, before, halves, self.buckets), _FOUND))
 
     def full(self, size: int) -> DataFrame:
         """_block, h, lo: the hashes of windows of ``size`` words that are in two documents."""
         if size < 4:
-            return _repeated(self.docs.groupBy("_block").applyInArrow(_all_windows(size), _FOUND), self.buckets)
+            return _repeated(self.docs.groupBy("_block").applyInArrow(_all_windows(size, self.buckets), _FOUND))
         return self.next(self.first(size), size, size // 2 + 1, halves=True)
 
 
-def _all_windows(size: int):
+def _all_windows(size: int, buckets: int):
     def one(key, t):
         hs, docs, ids = [], [], T.ids(t.column("doc_id"))
         for s in T.slices(t.column("text")):
@@ -168,7 +206,7 @@ def _all_windows(size: int):
             at = np.flatnonzero(_inside(w, size))
             hs.append(T.window_hashes(T.word_hashes(s, w), size)[at])
             docs.append(ids[s.lo + w.doc[at]])
-        return _unique(hs, docs, key[0].as_py())
+        return _unique(hs, docs, key[0].as_py(), buckets)
 
     return one
 
@@ -215,11 +253,16 @@ def deduplicated(docs: DataFrame, size: int = WINDOW, block_docs: int = BLOCK_DO
     return levels.docs.groupBy("_block").cogroup(levels.full(size).groupBy("_block")).applyInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
+def _hashes(column: str):
+    """The hashes of a packed column, as hexadecimal text."""
+    return F.transform(F.sequence(F.lit(0), (F.octet_length(column) / 8).cast("int") - 1), lambda i: F.hex(F.substring(F.col(column), i * 8 + 1, F.lit(8))))
+
+
 def longest_repeats(docs: DataFrame, size: int = WINDOW, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """window, n: for each doubled length the number of different windows that repeat, until there is none. One job a level."""
     levels, out = Levels(docs, block_docs), []
     back, length = written(levels.full(size)), size
-    while n := back.select("h").distinct().count():
+    while n := back.select(F.explode(_hashes("h")).alias("h")).distinct().count():
         out.append((length, n))
         back, length = written(levels.next(back, 2 * length, length)), 2 * length
     return docs.sparkSession.createDataFrame(out, "window int, n long")
