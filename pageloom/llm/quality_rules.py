@@ -82,9 +82,9 @@ def measure(s: T.Slice) -> dict[str, np.ndarray]:
     begins = cut[:-1].copy()
     begins[1:] |= s.buf[:-1] == 10
     a = np.flatnonzero(begins)
-    b = np.append(a[1:], len(s.buf))
+    b = np.append(a[1:], len(s.buf))[: len(a)]
     doc = np.searchsorted(s.offsets, a, "right") - 1
-    b -= (b > a) & (s.buf[np.maximum(b - 1, 0)] == 10) if len(b) else 0
+    b -= (b > a) & (s.buf[np.maximum(b - 1, 0)] == 10) if len(b) else False
     solid = np.zeros(len(s.buf) + 1, np.int64)
     np.cumsum(~T._SPACE[s.buf], out=solid[1:])
     has = solid[b] > solid[a]
