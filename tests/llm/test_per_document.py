@@ -38,7 +38,7 @@ def test_quality_ledger_equals_sql(spark):
 
 
 def test_policies_and_ablations(spark):
-    book = quality_rules.ledger(frame(spark, [(1, "word " * 60), (2, " ".join(f"w{i}" for i in range(60))), (3, "### *** " * 40), (4, None)]))
+    book = quality_rules.ledger(frame(spark, [(1, "word " * 60), (2, " ".join(f"word{i}" for i in range(60))), (3, "### *** " * 40), (4, None)]))
     kept = {r.doc_id: r.kept for r in quality_rules.verdicts(book, "v1").collect()}
     assert kept == {1: False, 2: True, 3: False, 4: False}
     rows = {r.rule: r for r in quality_rules.ablations(book, "v1").collect()}
