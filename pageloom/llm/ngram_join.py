@@ -8,14 +8,14 @@ which a link bounds by a share of the two sizes. The join goes down through regi
    ``ceil(t*n)`` common shingles, so it is enough to replicate a document to the first
    ``n - ceil(t*n) + 1`` of them in an order of all shingles that puts frequent ones last. (Documents
    as first pivots separate nothing: nearly all are at distance 1 from any other document.)
-2. Regions with one member go. The others are joined over counters of the shingles' leading hash
-   bits, whose city-block distance never exceeds the symmetric difference: large regions are
-   split again by member pivots into Voronoi regions, boundary members replicated by the triangle
-   inequality's window, down to regions small enough to compare all.
-3. What is left is verified on the whole sets. In a first round each document is verified with its
-   nearest neighbour only, and the links give components; a second round verifies all remaining
-   pairs across components. So a group of many near copies makes about a link a member, not all
-   pairs, and no link between different components is lost.
+2. Regions with one member go. The others are joined over parity sketches of the sets, whose Hamming
+   distance never exceeds the symmetric difference: large regions are split again by member pivots
+   into Voronoi regions, boundary members replicated by the triangle inequality's window, down to
+   regions small enough to compare all.
+3. What is left is verified on the whole sets. In a first round only a spanning forest of the
+   candidate pairs is, and its links give components; a second round verifies all remaining pairs
+   across components. So a group of many near copies makes a few links a member, not all pairs, and
+   no link between different components is lost.
 
 Shingles and sets are 64-bit hashes. Copies share one set and take part once.
 
@@ -26,7 +26,7 @@ rows are copies; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +56,10 @@ def sets(s: T.Slice, k: int) -> list[np.ndarray]:
     return out
 
 
-def _counters(x: np.ndarray) -> bytes:
-    """Numbers of shingles by leading bits, modulo 256; more counters for larger sets."""
-    bits = 6 if len(x) <= 1500 else 8 if len(x) <= 8000 else 10
-    return np.bincount((x >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8).tobytes()
+def _sketch(x: np.ndarray) -> bytes:
+    """The parities of the numbers of shingles by their low bits; more of them for larger sets."""
+    bits = 10 if len(x) <= 750 else 12 if len(x) <= 3000 else 14 if len(x) <= 12000 else 16
+    return np.packbits(np.bincount((x & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
 
 
 def _sid(x: np.ndarray) -> int:
@@ -70,16 +70,16 @@ def _sid(x: np.ndarray) -> int:
 
 
 def _nodes(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id (T.NO_ID for null), n, sid, counters of every row."""
+    """doc_id (T.NO_ID for null), n, sid, sketch of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = T.ids(b.column(0))
             for s in T.slices(b.column(1)):
                 x = sets(s, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s.lo : s.hi]), pa.array([len(v) for v in x], pa.int64()), pa.array([_sid(v) for v in x], pa.int64()), pa.array([_counters(v) if len(v) else b"" for v in x], pa.binary())], ["doc_id", "n", "sid", "counters"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s.lo : s.hi]), pa.array([len(v) for v in x], pa.int64()), pa.array([_sid(v) for v in x], pa.int64()), pa.array([_sketch(v) if len(v) else b"" for v in x], pa.binary())], ["doc_id", "n", "sid", "sketch"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, sid long, counters binary")
+    return docs.mapInArrow(rows, "doc_id long, n long, sid long, sketch binary")
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -151,18 +151,20 @@ def _shared_regions(percent: int):
 class _Region:
     """The sets of one bucket and the search for pairs that may link."""
 
-    def __init__(self, n: np.ndarray, counters: list[bytes], percent: int) -> None:
-        self.n, self.percent = n.astype(np.int64), percent
-        self.width = np.array([len(c) for c in counters])
-        flat = [np.frombuffer(c, np.uint8) for c in counters]
-        self.full = flat
-        self.v = np.stack([x.reshape(64, -1).sum(1, dtype=np.uint8) for x in flat]) if flat else np.zeros((0, 64), np.uint8)
+    def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int) -> None:
+        self.n, self.percent, self.sketches = n.astype(np.int64), percent, sketches
+        self.width = np.array([len(c) for c in sketches])
+        self.v = np.stack([self.folded(c, 128) for c in sketches]) if sketches else np.zeros((0, 16), np.uint64)
+
+    @staticmethod
+    def folded(sketch: bytes, width: int) -> np.ndarray:
+        """The sketch that fewer low bits give."""
+        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, width // 8), axis=0)
 
     @staticmethod
     def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """City-block distance of counters modulo 256."""
-        d = a - b
-        return np.minimum(d, (0 - d).astype(np.uint8)).sum(-1, dtype=np.int64)
+        """Hamming distance of sketches."""
+        return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
 
     def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of linked sets of these sizes; -1 if the sizes exclude a link."""
@@ -171,21 +173,20 @@ class _Region:
         return np.where(100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b]), most, -1)
 
     def may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs that counters don't exclude, and their distances."""
+        """The pairs that sketches don't exclude, and their distances in tenths of the bound."""
         out = []
-        for i in range(0, len(a), 200_000):
-            x, y = a[i : i + 200_000], b[i : i + 200_000]
+        for i in range(0, len(a), 100_000):
+            x, y = a[i : i + 100_000], b[i : i + 100_000]
             most = self.bound(x, y)
             ok = most >= 0
             x, y, most = x[ok], y[ok], most[ok]
             d = self.apart(self.v[x], self.v[y])
             ok = d <= most
-            for j in np.flatnonzero(ok & (self.width[x] > 64) & (self.width[y] > 64)).tolist():
+            for j in np.flatnonzero(ok & (self.width[x] > 128) & (self.width[y] > 128)).tolist():
                 w = min(self.width[x[j]], self.width[y[j]])
-                p, q = (self.full[k].reshape(w, -1).sum(1, dtype=np.uint8) for k in (x[j], y[j]))
-                d[j] = max(d[j], self.apart(p, q))
+                d[j] = self.apart(self.folded(self.sketches[x[j]], w), self.folded(self.sketches[y[j]], w))
                 ok[j] = d[j] <= most[j]
-            out.append((x[ok], y[ok], d[ok]))
+            out.append((x[ok], y[ok], 10 * d[ok] // np.maximum(most[ok], 1)))
         return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
 
     def pairs(self, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -224,12 +225,11 @@ class _Region:
                 yield from self.pairs(part)
 
 
-def _regions(t, percent: int) -> tuple[np.ndarray, _Region, Iterator]:
+def _regions(t, percent: int) -> tuple[np.ndarray, Callable]:
     """The different sets of a bucket, and all pairs of its regions that may link."""
     h, sid = t.column("h").to_numpy(), t.column("sid").to_numpy()
     own, first, at = np.unique(sid, return_index=True, return_inverse=True)
-    counters = t.column("counters").take(pa.array(first)).to_pylist()
-    region = _Region(t.column("n").to_numpy()[first], counters, percent)
+    region = _Region(t.column("n").to_numpy()[first], t.column("sketch").take(pa.array(first)).to_pylist(), percent)
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         o = np.argsort(h, kind="stable")
@@ -248,26 +248,35 @@ def _regions(t, percent: int) -> tuple[np.ndarray, _Region, Iterator]:
             key = np.unique(np.concatenate(small))
             yield region.may_link(key // len(own), key % len(own))
 
-    return own, region, pairs()
+    return own, pairs
 
 
-def _nearest(percent: int):
-    """sid, other, d: for each set of a bucket that may link with another, the nearest one."""
+def _forest(percent: int):
+    """a, b: of the pairs of a bucket that may link, enough to connect all that they connect, close ones first."""
 
     def one(t):
-        own, _, pairs = _regions(t, percent)
-        best = np.full(len(own), 1 << 62, np.int64)
-        other = np.full(len(own), -1, np.int64)
-        for a, b, d in pairs:
-            for x, y in ((a, b), (b, a)):
-                o = np.lexsort((y, d, x))
-                x, y, e = x[o], y[o], d[o]
-                new = np.append(True, x[1:] != x[:-1])[: len(x)]
-                x, y, e = x[new], y[new], e[new]
-                better = e < best[x]
-                best[x[better]], other[x[better]] = e[better], y[better]
-        has = other >= 0
-        return pa.table({"sid": own[has], "other": own[other[has]], "d": best[has]})
+        own, pairs = _regions(t, percent)
+        root, out = np.arange(len(own)), []
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for least, most in ((0, 7), (8, 10)):
+            for a, b, d in pairs():
+                while not np.array_equal(up := root[root], root):
+                    root[:] = up
+                k = np.flatnonzero((d >= least) & (d <= most) & (root[a] != root[b]))
+                k = k[np.argsort(d[k], kind="stable")]
+                for x, y in zip(a[k].tolist(), b[k].tolist(), strict=True):
+                    p, q = find(x), find(y)
+                    if p != q:
+                        root[max(p, q)] = min(p, q)
+                        out.append((x, y))
+        x, y = (own[np.array(v, np.int64)] for v in (zip(*out, strict=True) if out else ([], [])))
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return one
 
@@ -276,11 +285,11 @@ def _across(percent: int):
     """a, b: the pairs of a bucket that may link and lie in different components."""
 
     def one(t):
-        own, _, pairs = _regions(t, percent)
+        own, pairs = _regions(t, percent)
         first = np.unique(t.column("sid").to_numpy(), return_index=True)[1]
         label = t.column("label").to_numpy()[first]
         found = [np.zeros(0, np.int64)]
-        for a, b, _ in pairs:
+        for a, b, _ in pairs():
             ok = label[a] != label[b]
             found.append(np.unique(np.minimum(a[ok], b[ok]) * len(own) + np.maximum(a[ok], b[ok])))
         key = np.unique(np.concatenate(found))
@@ -312,17 +321,17 @@ def clustered(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     nodes = written(_nodes(docs, k))
     buckets = max(1, nodes.count() // 2048)
-    kinds = written(nodes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counters").alias("counters")))
+    kinds = written(nodes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     bucket = F.pmod(F.col("h"), F.lit(buckets)).alias("bucket")
     replicas = _first_regions(docs, k, percent, _frequent(docs, k))
-    shared = written(replicas.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_shared_regions(percent), "h long, sid long").join(kinds, "sid").select("h", "sid", "n", "counters"))
-    near = shared.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_nearest(percent), "sid long, other long, d long")
-    near = written(near.groupBy("sid").agg(F.min(F.struct("d", "other"))["other"].alias("other")))
-    members = near.select("sid").join(kinds.select("sid", "doc_id"), "sid").select(F.when(F.col("doc_id") != T.NO_ID, F.col("doc_id")).alias("doc_id")).distinct()
-    whole = written(_whole(docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi"), k).dropDuplicates(["sid"]).join(near.select("sid"), "sid", "left_semi"))
-    one = written(_verified(near.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct(), whole, percent))
+    shared = written(replicas.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_shared_regions(percent), "h long, sid long").join(kinds, "sid").select("h", "sid", "n", "sketch"))
+    first = written(shared.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_forest(percent), "a long, b long").distinct())
+    near = first.select(F.col("a").alias("sid")).unionByName(first.select(F.col("b").alias("sid"))).distinct()
+    members = near.join(kinds.select("sid", "doc_id"), "sid").select(F.when(F.col("doc_id") != T.NO_ID, F.col("doc_id")).alias("doc_id")).distinct()
+    whole = written(_whole(docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi"), k).dropDuplicates(["sid"]).join(near, "sid", "left_semi"))
+    one = written(_verified(first, whole, percent))
     labels = components(one)
-    linked = shared.join(near.select("sid"), "sid").join(labels, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "counters", F.coalesce("label", "sid").alias("label"))
+    linked = shared.join(near, "sid").join(labels, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "sketch", F.coalesce("label", "sid").alias("label"))
     rest = linked.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_across(percent), "a long, b long").distinct()
     two = written(_verified(rest, whole, percent))
     if not two.isEmpty():
