@@ -225,11 +225,16 @@ class _Region:
                 yield from self.pairs(part)
 
 
-def _regions(t, percent: int) -> tuple[np.ndarray, Callable]:
-    """The different sets of a bucket, and all pairs of its regions that may link."""
-    h, sid = t.column("h").to_numpy(), t.column("sid").to_numpy()
-    own, first, at = np.unique(sid, return_index=True, return_inverse=True)
-    region = _Region(t.column("n").to_numpy()[first], t.column("sketch").take(pa.array(first)).to_pylist(), percent)
+def _regions(members, sketches, percent: int) -> tuple[np.ndarray, Callable]:
+    """The different sets of a bucket in order, and all pairs of its regions that may link. Members without a sketch are left out."""
+    sid = sketches.column("own").to_numpy()
+    o = np.argsort(sid)
+    own = sid[o]
+    region = _Region(sketches.column("n").to_numpy()[o], sketches.column("sketch").take(pa.array(o)).to_pylist(), percent)
+    h, sid = members.column("h").to_numpy(), members.column("sid").to_numpy()
+    at = np.minimum(np.searchsorted(own, sid), max(0, len(own) - 1))
+    known = own[at] == sid if len(own) else np.zeros(len(sid), bool)
+    h, at = h[known], at[known]
 
     def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         o = np.argsort(h, kind="stable")
@@ -254,8 +259,8 @@ def _regions(t, percent: int) -> tuple[np.ndarray, Callable]:
 def _forest(percent: int):
     """a, b: of the pairs of a bucket that may link, enough to connect all that they connect, close ones first."""
 
-    def one(t):
-        own, pairs = _regions(t, percent)
+    def one(members, sketches):
+        own, pairs = _regions(members, sketches, percent)
         root, out = np.arange(len(own)), []
 
         def find(i: int) -> int:
@@ -284,10 +289,9 @@ def _forest(percent: int):
 def _across(percent: int):
     """a, b: the pairs of a bucket that may link and lie in different components."""
 
-    def one(t):
-        own, pairs = _regions(t, percent)
-        first = np.unique(t.column("sid").to_numpy(), return_index=True)[1]
-        label = t.column("label").to_numpy()[first]
+    def one(members, sketches):
+        own, pairs = _regions(members, sketches, percent)
+        label = sketches.column("label").to_numpy()[np.argsort(sketches.column("own").to_numpy())]
         found = [np.zeros(0, np.int64)]
         for a, b, _ in pairs():
             ok = label[a] != label[b]
@@ -320,19 +324,21 @@ def clustered(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     nodes = written(_nodes(docs, k))
-    buckets = max(1, nodes.count() // 2048)
+    buckets = max(1, nodes.count() // 8192)
     kinds = written(nodes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     bucket = F.pmod(F.col("h"), F.lit(buckets)).alias("bucket")
     replicas = _first_regions(docs, k, percent, _frequent(docs, k))
-    shared = written(replicas.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_shared_regions(percent), "h long, sid long").join(kinds, "sid").select("h", "sid", "n", "sketch"))
-    first = written(shared.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_forest(percent), "a long, b long").distinct())
+    shared = written(replicas.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_shared_regions(percent), "h long, sid long")).withColumn("bucket", bucket)
+    # a set's sketch goes once to each bucket that has regions of it
+    sketches = shared.select(F.col("bucket").alias("part"), F.col("sid").alias("own")).distinct().join(kinds.select(F.col("sid").alias("own"), "n", "sketch"), "own")
+    first = written(shared.groupBy("bucket").cogroup(sketches.groupBy("part")).applyInArrow(_forest(percent), "a long, b long").distinct())
     near = first.select(F.col("a").alias("sid")).unionByName(first.select(F.col("b").alias("sid"))).distinct()
     members = near.join(kinds.select("sid", "doc_id"), "sid").select(F.when(F.col("doc_id") != T.NO_ID, F.col("doc_id")).alias("doc_id")).distinct()
     whole = written(_whole(docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi"), k).dropDuplicates(["sid"]).join(near, "sid", "left_semi"))
     one = written(_verified(first, whole, percent))
     labels = components(one)
-    linked = shared.join(near, "sid").join(labels, F.col("sid") == F.col("node"), "left").select("h", "sid", "n", "sketch", F.coalesce("label", "sid").alias("label"))
-    rest = linked.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_across(percent), "a long, b long").distinct()
+    linked = sketches.join(near.withColumnRenamed("sid", "own"), "own").join(labels.withColumnRenamed("node", "own"), "own", "left").select("part", "own", "n", "sketch", F.coalesce("label", "own").alias("label"))
+    rest = shared.groupBy("bucket").cogroup(linked.groupBy("part")).applyInArrow(_across(percent), "a long, b long").distinct()
     two = written(_verified(rest, whole, percent))
     if not two.isEmpty():
         labels = components(one.unionByName(two))
