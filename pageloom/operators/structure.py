@@ -50,22 +50,25 @@ def _starts(c: Column, words: list[str]) -> Column:
     return c.rlike("^(?:" + "|".join(words) + ")")
 
 
-def splits(avg_gap: Column, avg_size: Column, cfg: Config = DEFAULT) -> Column:
-    """Whether a block starts a new paragraph after the one before it (columns with the prefix p_), by ordered rules."""
+def splits(avg_gap: Column, cfg: Config = DEFAULT) -> Column:
+    """Whether a block starts a new paragraph after the one before it (columns with the prefix p_), by ordered rules.
+
+    ``_mine`` and ``_its`` are the two blocks' types by the legal profile.
+    """
     c = F.col
     cur, prev = X.strip(c("text")), X.strip(c("p_text"))
     height, gap = c("p_y1") - c("p_y0"), c("y0") - c("p_y1")
-    mine, its = classify.korean_legal(c("text"), c("size"), c("is_bold"), avg_size), classify.korean_legal(c("p_text"), c("p_size"), c("p_is_bold"), avg_size)
+    mine, its = c("_mine"), c("_its")
     same_font = (F.abs(c("size") - c("p_size")) < 0.5) & (c("is_bold") == c("p_is_bold"))
     indent = F.abs(c("x0") - c("p_x0"))
-    goes_on = same_font & ((avg_gap <= 0) | (gap <= avg_gap * cfg.line_gap_multiplier)) & (indent <= cfg.indent_tolerance) & (mine["block_type"] == "text") & (F.length(prev) <= 40)
+    goes_on = same_font & ((avg_gap <= 0) | (gap <= avg_gap * cfg.line_gap_multiplier)) & (indent <= cfg.indent_tolerance) & ((mine == "text")) & (F.length(prev) <= 40)
     return (
         F.when((cur == "") | (prev == ""), True)
         .when((height > 0) & (gap >= height * cfg.line_height_split_factor), True)
         .when(prev.rlike(r"[\(（\[「『【]\s*$"), False).when(cur.rlike(r"^\s*[\)）\]」』】]"), False)
         .when(prev.rlike(r",\s*$"), False).when(prev.rlike(r"[-–—]\s*$"), False)
-        .when(its["block_type"] == "heading", ~goes_on)
-        .when(mine["block_type"].isin("heading", "clause", "subclause", "item"), True)
+        .when(its == "heading", ~goes_on)
+        .when(mine.isin("heading", "clause", "subclause", "item"), True)
         .when((avg_gap > 0) & (gap > avg_gap * cfg.line_gap_multiplier), True)
         .when(indent > cfg.indent_tolerance, True)
         .when((F.abs(c("size") - c("p_size")) > 1.0) | (c("is_bold") != c("p_is_bold")), True)
@@ -92,7 +95,10 @@ def merged_lines(blocks: DataFrame, font_stats: DataFrame, cfg: Config = DEFAULT
     w = Window.partitionBy("doc_id", "page_num").orderBy("seq")
     b = blocks.join(font_stats.select("doc_id", F.col("avg_font_size").alias("_avg"), F.col("avg_line_gap").alias("_gap")), "doc_id")
     b = b.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("text", "x0", "y0", "y1", "size", "is_bold")})
-    b = b.withColumn("_split", F.col("p_text").isNull() | splits(F.col("_gap"), F.col("_avg"), cfg))
+    # the type of a block is worked out once, and its successor takes it from there
+    b = b.withColumn("_mine", classify.korean_legal(F.col("text"), F.col("size"), F.col("is_bold"), F.col("_avg"), cfg)["block_type"])
+    b = b.withColumn("_its", F.lag("_mine").over(w))
+    b = b.withColumn("_split", F.col("p_text").isNull() | splits(F.col("_gap"), cfg))
     t = X.strip(F.col("text"))
     b = b.withColumns({"_island": F.sum(F.col("_split").cast("int")).over(w), "_piece": F.when(F.col("_split"), t).otherwise(F.concat(separator(X.strip(F.col("p_text")), t), t))})
     first = lambda c: F.min_by(c, "seq").alias(c)

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import text
+from . import documents, layout, tables, text
 
-MODULES = (text,)
+MODULES = (text, layout, tables, documents)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 ORACLES = {k: s for m in MODULES for k, s in m.ORACLES.items()}
