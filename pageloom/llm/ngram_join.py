@@ -58,7 +58,7 @@ def sets(s: T.Slice, k: int) -> list[np.ndarray]:
 
 def _sketch(x: np.ndarray) -> bytes:
     """The parities of the numbers of shingles by their low bits; more of them for larger sets."""
-    bits = 10 if len(x) <= 750 else 12 if len(x) <= 3000 else 14 if len(x) <= 12000 else 16
+    bits = 10 if len(x) <= 750 else 12 if len(x) <= 3000 else 14 if len(x) <= 40000 else 16
     return np.packbits(np.bincount((x & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
 
 
@@ -324,7 +324,7 @@ def clustered(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     nodes = written(_nodes(docs, k))
-    buckets = max(1, nodes.count() // 8192)
+    buckets = max(1, nodes.count() // 2048)
     kinds = written(nodes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
     bucket = F.pmod(F.col("h"), F.lit(buckets)).alias("bucket")
     replicas = _first_regions(docs, k, percent, _frequent(docs, k))
