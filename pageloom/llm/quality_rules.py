@@ -112,7 +112,7 @@ def failures(m: dict[str, np.ndarray]) -> np.ndarray:
         "symbols": 4 * m["n_symbols"] > n,
         "duplicate_lines": 2 * m["n_dup_lines"] > m["n_lines"],
         "word_length": (m["word_chars"] < 2 * n) | (m["word_chars"] > 25 * n),
-        "upper_case": 2 * m["n_upper"] > letters,
+        "upper_case": 2 * m["n_upper"] > letters + m["n_wide"],
         "few_letters": 2 * (letters + m["n_wide"]) < m["word_chars"],
     }
     mask = np.zeros(len(n), np.int64)
@@ -186,7 +186,7 @@ m AS (
   FROM w LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
 f AS (
   SELECT *, ((n_words < 50)::BIGINT + 2 * (100 * n_repeat_words > 50 * n_words)::BIGINT + 4 * (4 * n_symbols > n_words)::BIGINT + 8 * (2 * n_dup_lines > n_lines)::BIGINT
-    + 16 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT + 32 * (2 * n_upper > n_upper + n_lower)::BIGINT
+    + 16 * (word_chars < 2 * n_words OR word_chars > 25 * n_words)::BIGINT + 32 * (2 * n_upper > n_upper + n_lower + n_wide)::BIGINT
     + 64 * (2 * (n_upper + n_lower + n_wide) < word_chars)::BIGINT)::BIGINT AS fail_mask FROM m)
 SELECT *, (fail_mask & 3) <> 0 AS base_failed, fail_mask = 0 AS kept, 'v1' AS policy FROM f
 """
