@@ -182,3 +182,30 @@ def from_markdown(texts: DataFrame) -> DataFrame:
     cells_ = F.transform(rows, lambda r: F.transform(F.split(F.regexp_replace(r, r"^\||\|$", ""), r"\|"), X.strip))
     t = texts.select("id", cells_.alias("g")).where((F.size("g") >= 2) & (F.size(F.col("g")[0]) >= 2))
     return t.select("id", F.posexplode("g").alias("row", "r")).select("id", "row", F.posexplode("r").alias("col", "text"))
+
+
+def first_strategy(found: DataFrame, order: tuple[str, ...] = ("lines", "text", "hints", "words")) -> DataFrame:
+    """Of tables that several strategies found on a page, those of the first strategy that found any."""
+    rank = F.array_position(F.array(*map(F.lit, order)), F.col("strategy"))
+    f = found.withColumn("_r", F.when(rank > 0, rank)).where(F.col("_r").isNotNull())
+    return f.withColumn("_m", F.min("_r").over(Window.partitionBy("doc_id", "page_num"))).where("_r = _m").drop("_r", "_m")
+
+
+def usable(tables: DataFrame, cells: DataFrame) -> DataFrame:
+    """Tables of at least two rows and columns of which a tenth is filled; under three tenths they need review."""
+    f = tables.drop("needs_review").join(figures(cells).select("table_id", (F.col("full") / F.col("n")).alias("_f")), "table_id")
+    return f.where((F.col("rows") >= 2) & (F.col("cols") >= 2) & (F.col("_f") >= 0.1)).withColumn("needs_review", F.col("_f") < 0.3).drop("_f")
+
+
+def tolerance(value: int, dpi: Column, base: int = 72) -> Column:
+    """A tolerance for a page's resolution, between 3 and 25."""
+    return F.when(dpi.isNull(), value).otherwise(F.greatest(F.lit(3), F.least(F.lit(25), F.bround(value * F.greatest(dpi, F.lit(72)) / base, 0).cast("int"))))
+
+
+def spans(boxes: DataFrame, near: float = 3.0) -> DataFrame:
+    """table_id, row, col, rowspan, colspan of cell boxes (table_id, x0, y0, x1, y1): how many of the table's edges a box passes."""
+    edges = boxes.groupBy("table_id").agg(F.array_sort(F.array_distinct(F.concat(F.collect_set("x0"), F.collect_set("x1")))).alias("xs"), F.array_sort(F.array_distinct(F.concat(F.collect_set("y0"), F.collect_set("y1")))).alias("ys"))
+    at = lambda e, v: F.array_position(F.transform(e, lambda x: F.abs(x - F.col(v)) <= near), True)
+    j = boxes.join(edges, "table_id")
+    one = lambda c: F.greatest(F.lit(1), c).cast("int")
+    return j.select("table_id", (at("ys", "y0") - 1).cast("int").alias("row"), (at("xs", "x0") - 1).cast("int").alias("col"), one(at("ys", "y1") - at("ys", "y0")).alias("rowspan"), one(at("xs", "x1") - at("xs", "x0")).alias("colspan"))

@@ -50,3 +50,15 @@ def streamed_state(events: DataFrame, path: str, checkpoint: str, total: int = 1
     query = state(events, total).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     return events.sparkSession.read.parquet(path)
+
+
+def transitions(states: DataFrame) -> DataFrame:
+    """Rows (name, ts, up) where the state of a service changes, the first row included."""
+    from pyspark.sql import Window
+
+    before = F.lag("up").over(Window.partitionBy("name").orderBy("ts"))
+    return states.withColumn("_b", before).where(F.col("_b").isNull() | (F.col("_b") != F.col("up"))).drop("_b")
+
+
+def queue_status(jobs: DataFrame, workers: int) -> DataFrame:
+    return jobs.agg(F.count_if(F.col("status") == "processing").alias("running"), F.count_if(F.col("status") == "queued").alias("queued"), F.lit(workers).alias("workers"))
