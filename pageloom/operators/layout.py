@@ -157,3 +157,14 @@ def in_layout_order(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT)
         return pd.DataFrame({"doc_id": key[0], "page_num": key[1], "seq": out, "read_order": range(1, len(out) + 1)})
 
     return b.cogroup(x).applyInPandas(order, "doc_id long, page_num int, seq int, read_order int")
+
+
+def normalized(boxes: DataFrame) -> DataFrame:
+    """Layout boxes in the common form of blocks: an id from page and place, a type from the label."""
+    bid = F.substring(F.md5(F.format_string("%d|%.1f|%.1f|%.1f|%.1f", "page_num", "x0", "y0", "x1", "y1")), 1, 12)
+    return boxes.select(*KEYS, bid.alias("block_id"), F.coalesce(F.element_at(_map(BOX_TYPES), F.col("label")), F.lit("unknown")).alias("block_type"), "confidence", F.lit("layout").alias("source"), F.col("label").alias("original_label"), "x0", "y0", "x1", "y1")
+
+
+def needs_detection(pages: DataFrame, every: bool = False) -> DataFrame:
+    """Pages (page_type, layout_needed) that a layout model should see; the filter belongs before the model."""
+    return pages if every else pages.where(F.col("page_type").isin("scanned", "mixed") | F.col("layout_needed"))

@@ -17,7 +17,7 @@ def aggregated(pages: DataFrame) -> DataFrame:
     s = lambda c, to: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0)).alias(to)
     return pages.groupBy("doc_id").agg(
         F.count_if(own).alias("parsed_pages"), F.count_if("is_toc").alias("toc_pages"), *(s(f"n_{k}", f"{k}s") for k in NOISE), F.coalesce(F.bool_or(own & F.col("ocr_used")), F.lit(False)).alias("ocr_used"),
-        s("blocks_retried", "blocks_retried"), F.coalesce(F.round(F.avg(F.when(own & (F.col("avg_block_quality") < 1.0), F.col("avg_block_quality"))), 4), F.lit(1.0)).alias("avg_block_quality"),
+        s("blocks_retried", "blocks_retried"), F.coalesce(F.round(F.round(F.avg(F.when(own & (F.col("avg_block_quality") < 1.0), F.col("avg_block_quality"))), 9), 4), F.lit(1.0)).alias("avg_block_quality"),
     )
 
 
