@@ -42,7 +42,7 @@ _END_WORD = np.uint64(0xA5A5A5A55A5A5A5B)
 _FOUND = "_bucket int, _block int, h binary, n binary"
 
 
-def _lgamma_table(n: int) -> np.ndarray:
+def _lgamma_table(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.array([math.lgamma(i + 0.5) for i in range(n)]), np.array([math.lgamma(i + 1.0) for i in range(n)])
 
 
@@ -177,12 +177,10 @@ def _streams(t: pa.Table, depth: int, folds: int, out: int):
         gram = np.zeros(len(b) - depth, np.uint64)
         for j in range(depth + 1):
             gram = (gram << np.uint64(8)) | b[j : len(b) - depth + j]
-        ends = np.cumsum(size)
         row = np.repeat(np.arange(n), size - depth)
         keep = np.arange(len(row)) + depth * row  # a row's first strings start in its padding
         w = T.words(s)
         yield s.lo, s.hi, gram[keep], row, np.concatenate([T.word_hashes(s, w, lower=True), np.full(n, _END_WORD)]), np.concatenate([w.doc, np.arange(n)]), train[s.lo : s.hi]
-        del ends
 
 
 def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -190,10 +188,10 @@ def _counted(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np
 
 
 def _once(h: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each hash with the sum of a 0/1 count."""
-    u, n = np.unique((h << np.uint64(1)) | count.astype(np.uint64), return_counts=True) if h.max(initial=0) >> np.uint64(63) == 0 else (None, None)
-    if u is None:
+    """Each hash with the sum of a 0/1 count. Hashes of at most 63 bits are sorted together with it."""
+    if h.max(initial=0) >> np.uint64(63):
         return _groups(h, count.astype(np.int64))
+    u, n = np.unique((h << np.uint64(1)) | count.astype(np.uint64), return_counts=True)
     return _groups(u >> np.uint64(1), np.where(u & np.uint64(1), n, 0))
 
 

@@ -29,7 +29,7 @@ POLICIES = {
     "base": ("too_few_words", "repeated_windows"),
     "v1": ("too_few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length", "upper_case", "few_letters"),
 }
-SYMBOLS = b"[#*$%&|<>]".strip(b"[]")
+SYMBOLS = b"#*$%&|<>"
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower", "n_wide")
 SCHEMA = "doc_id long, " + ", ".join(f"{m} long" for m in MEASURES) + ", fail_mask long"
 

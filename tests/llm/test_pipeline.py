@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from pageloom.llm import registry
 from tests.llm.cases import frame, vocabulary
@@ -34,7 +36,9 @@ def test_stages(spark, tmp_path):
     assert set(seen["near duplicates"]) == clean | {31, 34} | ({33} if 33 in seen["near duplicates"] else set())
     assert set(seen["decontamination"]) == set(seen["near duplicates"]) - {34}
     assert {x.doc_id for x in at.collect()} == set(seen["decontamination"])
-    assert corpus_pipeline.run(spark, str(tmp_path)).count() == at.count()
+    # where documents are cut depends on their order; what is packed doesn't
+    tokens = lambda df: sorted((x.doc_id, x.n) for x in df.groupBy("doc_id").agg(F.sum("length").alias("n")).collect())
+    assert tokens(corpus_pipeline.run(spark, str(tmp_path))) == tokens(at)
 
 
 def test_registered():
