@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,15 +17,30 @@ READABLE = r"[\p{L}\p{N}\p{P}\p{S}]"
 HANGUL = r"[\x{ac00}-\x{d7a3}\x{3131}-\x{318e}]"
 
 
+_ONE = re.compile(r"\[(?:\\.|[^\[\]\\])*\]|\\[px]\{\w+\}")  # one character class
+
+
+def chars(c: Column, one: str) -> Column:
+    """The number of characters of a class: what taking away their runs takes from the length."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{one}+", ""))
+
+
+def visible(c: Column) -> Column:
+    """The number of characters that aren't white space."""
+    return F.length(F.regexp_replace(c, f"[{WS}]+", ""))
+
+
 def count(c: Column, pattern: str) -> Column:
-    return F.regexp_count(c, F.lit(pattern))
+    """The number of matches. regexp_count makes a list of them, which characters one by one are too many for."""
+    return chars(c, pattern) if _ONE.fullmatch(pattern) else F.regexp_count(c, F.lit(pattern))
 
 
 def encoding_health(c: Column) -> Column:
+    """All signs of wrong decoding lie outside ASCII, so that plain texts aren't searched for them."""
     bad = count(c, r"\x{fffd}") + count(c, r"\p{Co}")
     for p in MOJIBAKE:
         bad = bad + count(c, p)
-    return F.when(F.length(c) == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1.0 - bad / F.length(c) * 3.0))
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.greatest(F.lit(0.0), 1.0 - bad / F.length(c) * 3.0)).otherwise(1.0)
 
 
 def cid_ratio(c: Column) -> Column:
@@ -32,13 +49,13 @@ def cid_ratio(c: Column) -> Column:
 
 
 def printable_ratio(c: Column) -> Column:
-    hidden = count(c, r"[\p{C}&&[^\t\n\x0b\f\r\x1c-\x1f\x{85}]]")
+    hidden = chars(c, r"[\p{C}&&[^\t\n\x0b\f\r\x1c-\x1f\x{85}]]")
     return F.when(F.length(c) == 0, 1.0).otherwise(1.0 - hidden / F.length(c))
 
 
 def language_consistency(c: Column, expected: str = "ko") -> Column:
     """How well the letters agree with the expected language; accented Latin letters count against Korean."""
-    total = count(c, f"[^{WS}]")
+    total = visible(c)
     hangul, plain, wide = count(c, HANGUL), count(c, r"[\x{21}-\x{7e}]"), count(c, r"[\x{c0}-\x{24f}]")
     share = wide / F.nullif(total, F.lit(0))
     if expected == "ko":
@@ -68,13 +85,13 @@ def composite(parts: dict[str, Column]) -> Column:
 
 def readable_ratio(c: Column) -> Column:
     """Share of readable characters among those that aren't white space; 1 where there are none."""
-    total = count(c, f"[^{WS}]")
+    total = visible(c)
     return F.when(total == 0, 1.0).otherwise(count(c, READABLE) / total)
 
 
 def is_undecodable(c: Column) -> Column:
     """A text whose glyphs could not be decoded: many replacement or private-use characters, or few readable ones."""
-    total = count(c, f"[^{WS}]")
+    total = visible(c)
     return (total > 0) & ((count(c, r"[\x{fffd}\p{Co}]") / total >= 0.3) | (readable_ratio(c) < 0.3))
 
 
@@ -122,14 +139,19 @@ def korean_garbled(c: Column) -> Column:
     return F.when(korean == 0, zero).otherwise(F.least(F.lit(1.0), F.greatest(weighted, lone * 0.70, bigram * 0.55, mix * 0.45, nonsense * 0.75, digit * 0.55)))
 
 
+def _korean_part(t: Column) -> Column:
+    """The Korean measures only where there is Korean; a condition that Spark doesn't evaluate beforehand."""
+    return F.when(t.rlike(f"{_SYL}|{_JAMO}"), korean_garbled(t)).otherwise(0.0)
+
+
 def is_garbled(c: Column) -> Column:
     t = strip(c)
-    return (t != "") & ((readable_ratio(t) < 0.3) | (t.rlike(f"{_SYL}|{_JAMO}") & (korean_garbled(t) >= 0.3)))
+    return F.when(t == "", False).when(readable_ratio(t) < 0.3, True).otherwise(_korean_part(t) >= 0.3)
 
 
 def garbled_ratio(c: Column) -> Column:
     t = strip(c)
-    return F.when(t == "", 0.0).otherwise(F.greatest(1.0 - readable_ratio(t), korean_garbled(t)))
+    return F.when(t == "", 0.0).otherwise(F.greatest(1.0 - readable_ratio(t), _korean_part(t)))
 
 
 def gate(c: Column, expected: str = "ko") -> dict[str, Column]:

@@ -19,12 +19,17 @@ STATUS = r"(?i)^\s*상태\s*OK\s*$"
 CID = r"\(cid:\s*\d+\s*\)"
 
 
+#: The same characters as a string.
+WS_CHARS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+
+
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{WS}]+|[{WS}]+$", "")
+    """Looks at the ends only, unlike a regular expression."""
+    return F.btrim(c, F.lit(WS_CHARS))
 
 
 def rstrip(c: Column) -> Column:
-    return F.regexp_replace(c, f"[{WS}]+$", "")
+    return F.rtrim(c, F.lit(WS_CHARS))
 
 
 def length(c: Column) -> Column:

@@ -137,6 +137,20 @@ def korean_legal(text: Column, size: Column, bold: Column, avg: Column, cfg: Con
     return out.otherwise(_pair("text", 0))
 
 
+def legal_type(text: Column, size: Column, bold: Column, avg: Column, cfg: Config = DEFAULT) -> Column:
+    """The block type of ``korean_legal`` alone, as a smaller expression."""
+    t = X.strip(text)
+    out = F.when(t == "", "text")
+    for p, kind, _ in LEGAL_FIRST:
+        out = out.when(t.rlike(p), kind)
+    out = out.when(t.rlike(LEGAL_DECIMAL) & (F.length(t) <= 80), "heading")
+    large = (avg > 0) & (((size > avg * cfg.heading_bold_ratio) & bold) | (size > avg * cfg.heading_size_ratio))
+    out = out.when(large & (X.matches(t, (*(p for p, _ in LEGAL_DEPTH), LEGAL_PREFIX)) | (bold & (F.length(t) <= 80))), "heading")
+    for p, kind, _ in LEGAL_LAST:
+        out = out.when(t.rlike(p), kind)
+    return out.otherwise("text")
+
+
 def english_academic(text: Column, size: Column, bold: Column, avg: Column, cfg: Config = DEFAULT) -> Column:
     """struct(block_type, heading_level) by the rules for academic texts."""
     t = X.strip(text)

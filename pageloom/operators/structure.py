@@ -96,7 +96,7 @@ def merged_lines(blocks: DataFrame, font_stats: DataFrame, cfg: Config = DEFAULT
     b = blocks.join(font_stats.select("doc_id", F.col("avg_font_size").alias("_avg"), F.col("avg_line_gap").alias("_gap")), "doc_id")
     b = b.withColumns({f"p_{c}": F.lag(c).over(w) for c in ("text", "x0", "y0", "y1", "size", "is_bold")})
     # the type of a block is worked out once, and its successor takes it from there
-    b = b.withColumn("_mine", classify.korean_legal(F.col("text"), F.col("size"), F.col("is_bold"), F.col("_avg"), cfg)["block_type"])
+    b = b.withColumn("_mine", classify.legal_type(F.col("text"), F.col("size"), F.col("is_bold"), F.col("_avg"), cfg))
     b = b.withColumn("_its", F.lag("_mine").over(w))
     b = b.withColumn("_split", F.col("p_text").isNull() | splits(F.col("_gap"), cfg))
     t = X.strip(F.col("text"))

@@ -88,10 +88,10 @@ def layout_like(tables: DataFrame, cells: DataFrame) -> DataFrame:
 
 def grid(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """table_id, row, texts: each row's cleaned cell texts in full width; merged cells fill their span, later cells win."""
-    c = cells if "rowspan" in cells.columns else cells.withColumns({"rowspan": F.lit(1), "colspan": F.lit(1)})
-    t = c.withColumn("text", F.replace(X.clean_cell(F.col("text")), F.lit("|"), F.lit("\\|"))).where("text <> ''")
-    t = t.withColumn("_at", F.struct("row", "col")).withColumn("row", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1))).withColumn("col", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)))
-    one = t.groupBy("table_id", "row", "col").agg(F.max_by("text", "_at").alias("text"))
+    one = cells.withColumn("text", F.replace(X.clean_cell(F.col("text")), F.lit("|"), F.lit("\\|"))).where("text <> ''")
+    if "rowspan" in cells.columns:
+        t = one.withColumn("_at", F.struct("row", "col")).withColumn("row", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1))).withColumn("col", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)))
+        one = t.groupBy("table_id", "row", "col").agg(F.max_by("text", "_at").alias("text"))
     by_row = one.groupBy("table_id", "row").agg(F.map_from_entries(F.collect_list(F.struct("col", "text"))).alias("m"))
     every = tables.where("rows > 0 AND cols > 0").select("table_id", "cols", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"))
     j = every.join(by_row, ["table_id", "row"], "left")
@@ -104,6 +104,8 @@ def _joined(rows: Column, sep: str) -> Column:
 
 def markdown(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """table_id, is_junk, markdown: as key and value lines, as paragraphs, as plain text if there is next to nothing in it, or as a table."""
+    # dealt by table once: every grouping below is by table or by table and row
+    cells, tables = cells.repartition("table_id"), tables.repartition("table_id")
     g = grid(tables, cells)
     junk_cell = lambda x: (x == "") | x.rlike(DOTS_ONLY)
     rows = g.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "texts"))), lambda x: x["texts"]).alias("g"))

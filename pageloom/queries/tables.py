@@ -33,7 +33,7 @@ tb AS (SELECT table_id, doc_id, page_num, "rows", cols, 50.0::DOUBLE AS x0, y0,
 
 
 def _tables(spark, sf_dir):
-    cells = A.cells(table(spark, sf_dir, "lineitem"))
+    cells = A.cells(A.spread(table(spark, sf_dir, "lineitem")))
     return A.tables(cells, table(spark, sf_dir, "orders")), cells
 
 

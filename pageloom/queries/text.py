@@ -29,7 +29,11 @@ def query(sql: str | None = None):
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.lines(A.table(spark, sf_dir, "documents"))
+    return A.lines(A.spread(_texts(spark, sf_dir).select("doc_id", "text")))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.spread(A.table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def _clean(b: DataFrame) -> DataFrame:
@@ -149,7 +153,7 @@ def doc_type_density(spark, sf_dir):
 
 @query(f"SELECT doc_id, round({S.readable('text')}, 6) AS readable_ratio, {S.readable('text')} < 0.3 AS undecodable FROM documents")
 def readable_ratio(spark, sf_dir):
-    return A.table(spark, sf_dir, "documents").select("doc_id", F.round(Q.readable_ratio(F.col("text")), 6).alias("readable_ratio"), Q.is_undecodable(F.col("text")).alias("undecodable"))
+    return _texts(spark, sf_dir).select("doc_id", F.round(Q.readable_ratio(F.col("text")), 6).alias("readable_ratio"), Q.is_undecodable(F.col("text")).alias("undecodable"))
 
 
 _SIG = f"sg AS (SELECT doc_id, {S.health('text')} AS e, {S.cid_ratio('text')} AS c, {S.printable('text')} AS p, {S.consistency('text')} AS l FROM documents)"
@@ -158,19 +162,19 @@ _SIG = f"sg AS (SELECT doc_id, {S.health('text')} AS e, {S.cid_ratio('text')} AS
 @query(f"WITH {_SIG} SELECT doc_id, round(e, 6) AS encoding_health, round(c, 6) AS cid_ratio, round(p, 6) AS printable_ratio, round(l, 6) AS language_consistency, round(e * 0.35 + c * 0.30 + p * 0.20 + l * 0.15, 6) AS quality_score FROM sg")
 def quality_signals(spark, sf_dir):
     s = Q.signals(F.col("text"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", *(F.round(v, 6).alias(k) for k, v in s.items()), F.round(Q.composite(s), 6).alias("quality_score"))
+    return _texts(spark, sf_dir).select("doc_id", *(F.round(v, 6).alias(k) for k, v in s.items()), F.round(Q.composite(s), 6).alias("quality_score"))
 
 
 @query(f"WITH {_SIG} SELECT doc_id, score >= 0.8 AS passes, round(score, 6) AS quality_score, CASE WHEN score < 0.4 THEN 'confidence_downgrade' ELSE 'none' END AS repair_method, CASE WHEN score < 0.4 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS confidence_penalty FROM (SELECT *, e * 0.35 + c * 0.30 + p * 0.20 + l * 0.15 AS score FROM sg)")
 def quality_gate(spark, sf_dir):
     """None of the test texts holds glyph references, so that the SQL leaves that repair out."""
     g = Q.gate(F.col("text"))
-    return A.table(spark, sf_dir, "documents").select("doc_id", (~g["needs_repair"]).alias("passes"), F.round(g["quality_score"], 6).alias("quality_score"), g["repair_method"].alias("repair_method"), g["confidence_penalty"].alias("confidence_penalty"))
+    return _texts(spark, sf_dir).select("doc_id", (~g["needs_repair"]).alias("passes"), F.round(g["quality_score"], 6).alias("quality_score"), g["repair_method"].alias("repair_method"), g["confidence_penalty"].alias("confidence_penalty"))
 
 
 @query(f"WITH {_SIG} SELECT quality, toxic, count(*) AS n, round(avg(e * 0.35 + c * 0.30 + p * 0.20 + l * 0.15), 6) AS mean_score FROM sg JOIN labels USING (doc_id) GROUP BY quality, toxic")
 def quality_vs_label(spark, sf_dir):
-    s = A.table(spark, sf_dir, "documents").select("doc_id", Q.composite(Q.signals(F.col("text"))).alias("score"))
+    s = _texts(spark, sf_dir).select("doc_id", Q.composite(Q.signals(F.col("text"))).alias("score"))
     return s.join(A.table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
@@ -294,7 +298,7 @@ l4 AS (SELECT *, coalesce(lag(takes) OVER (PARTITION BY doc_id ORDER BY line_no)
 
 @query(S.with_ctes("SELECT doc_id, line_no::INTEGER AS line_no, CASE WHEN takes THEN left(line, length(line) - length(s)) || s || CASE WHEN regexp_matches(s, '[가-힣]$') AND regexp_matches(nx, '^[가-힣]') THEN '' ELSE ' ' END || nx ELSE line END AS line FROM l4 WHERE NOT taken", _BROKEN))
 def merge_broken_lines(spark, sf_dir):
-    d = A.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    d = _texts(spark, sf_dir).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return structure.merged_broken_lines(d)
 
 

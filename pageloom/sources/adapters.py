@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 WIDTH, HEIGHT, SLOTS = 595.0, 880.0, 10
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table with fewer splits than there are cores anew; tables of many files stay as they are read."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
