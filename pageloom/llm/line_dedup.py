@@ -216,12 +216,12 @@ def removed_lines(own: list[int], words: list[int], partners: list[list[int]]) -
     return gone
 
 
-def _cut(text_at: int, chars_at: int | None, digest: bool):
+def _cut(text_at: int, chars_at: int | None, digest: bool, block: str):
     def one(key, t, pairs):
         partners: dict[int, list[list[int]]] = {}
         for d, x in zip(pairs.column("later").to_pylist(), pairs.column("lines").to_pylist(), strict=True):
             partners.setdefault(d, []).append(np.frombuffer(x, np.uint64).tolist())
-        t = t.drop_columns(["_block"])
+        t = t.drop_columns([block])
         ids, texts, n_lines, n_gone = T.ids(t.column("doc_id")), [], [], []
         null = t.column(text_at).is_null().to_pylist()
         for s in T.slices(t.column(text_at)):
@@ -251,17 +251,19 @@ def _cut(text_at: int, chars_at: int | None, digest: bool):
 def _run(docs: DataFrame, digest: bool, common: float = COMMON, block_docs: int = BLOCK_DOCS) -> DataFrame:
     rows = docs.count()
     n = max(1, -(-rows // block_docs))
-    schema = docs.schema
-    dealt = docs.withColumn("_block", F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int"))
-    back = dealt.groupBy("_block").applyInArrow(_found(2 * n), "_bucket int, _block int, h binary, lo binary, n binary").groupBy("_bucket").applyInArrow(_merged, "_block int, h binary, lo binary, n binary")
-    pairs = written(dealt.groupBy("_block").cogroup(back.groupBy("_block")).applyInArrow(_partners(max(2.0, common * rows)), "_block int, later long, earlier long"))
+    schema, name = docs.schema, "_block"
+    while name in docs.columns:  # a column of the input may have this name
+        name += "_"
+    dealt = docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int"))
+    back = dealt.groupBy(name).applyInArrow(_found(2 * n), "_bucket int, _block int, h binary, lo binary, n binary").groupBy("_bucket").applyInArrow(_merged, "_block int, h binary, lo binary, n binary")
+    pairs = written(dealt.groupBy(name).cogroup(back.groupBy("_block")).applyInArrow(_partners(max(2.0, common * rows)), "_block int, later long, earlier long"))
     wanted = pairs.select("earlier").distinct().withColumn("_block", F.pmod(F.xxhash64("earlier"), F.lit(n)).cast("int"))
-    lines = dealt.groupBy("_block").cogroup(wanted.groupBy("_block")).applyInArrow(_line_hashes, "earlier long, lines binary")
+    lines = dealt.groupBy(name).cogroup(wanted.groupBy("_block")).applyInArrow(_line_hashes, "earlier long, lines binary")
     joined = pairs.join(lines, "earlier").select("_block", "later", "lines")
     names = [f.name for f in schema]
     chars = names.index("n_chars") if "n_chars" in names else None
     out = "doc_id long, n_lines long, n_removed long, kept_sha256 string" if digest else schema
-    return dealt.groupBy("_block").cogroup(joined.groupBy("_block")).applyInArrow(_cut(names.index("text"), chars, digest), out)
+    return dealt.groupBy(name).cogroup(joined.groupBy("_block")).applyInArrow(_cut(names.index("text"), chars, digest, name), out)
 
 
 def deduplicated(docs: DataFrame, common: float = COMMON, block_docs: int = BLOCK_DOCS) -> DataFrame:

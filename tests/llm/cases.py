@@ -44,4 +44,4 @@ def frame(spark, rows):
 
     full = [(i, t, "en", "src", len(t) if t is not None else None) for i, t in rows]
     df = spark.createDataFrame(full, SCHEMA)
-    return df.withColumns({"h": F.lit(1), "n": F.lit("x"), "sid": F.lit(2), "key": F.lit(None).cast("string")})
+    return df.withColumns({"h": F.lit(1), "n": F.lit("x"), "sid": F.lit(2), "key": F.lit(None).cast("string"), "_block": F.lit("z"), "_bucket": F.lit(0)})
