@@ -361,5 +361,15 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustered(table(spark, sf_dir, "documents"))
 
 
+ORACLE_SQL = r"""
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT DISTINCT rid, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM t WHERE len(ws) > 0)),
+n AS (SELECT rid, count(*) AS n FROM sh GROUP BY rid),
+both_ AS (SELECT a.rid AS x, b.rid AS y, count(*) AS c FROM sh a JOIN sh b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid),
+links AS (SELECT x, y FROM both_ JOIN n p ON p.rid = x JOIN n q ON q.rid = y WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (SELECT rid AS x, rid AS y FROM t UNION SELECT reach.x, links.y FROM reach JOIN links ON reach.y = links.x),
+comp AS (SELECT x AS rid, min(doc_id) AS component_id FROM reach JOIN t ON t.rid = y GROUP BY x)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM t JOIN comp USING (rid) LEFT JOIN n USING (rid)
+"""
 QUERIES = {"op7_ngram_jaccard_join": op7_ngram_jaccard_join}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op7_ngram_jaccard_join": ORACLE_SQL}
