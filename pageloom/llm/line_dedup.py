@@ -1,9 +1,9 @@
 """Line dedup by pairwise alignment.
 
 Documents that share a line are found through line hashes: every line of some words that also stands
-in a document with a smaller doc_id names the first such document as a partner. Rare lines name
-partners (common ones only where a document shares no rare line), so that a document has at most as
-many partners as lines, and a group of copies has one partner in common and no pairs among itself.
+in a document with a smaller doc_id, however many hold it, names the first such document as a
+partner, so that a document has at most as many partners as lines, and a group of copies has one
+partner in common and no pairs among itself.
 Each document is aligned with its partners by patience diff: the longest increasing chain of common
 lines that are unique on both sides, again between the links of the chain, and equal lines at both
 ends of a gap. Blocks of consecutive aligned lines that hold enough words are deleted from the later
@@ -34,7 +34,6 @@ from .substring_dedup import _narrow, _wide
 
 LINE_WORDS = 3  # words of a line that may name a partner
 BLOCK_WORDS = 8  # words of an aligned block that is deleted
-COMMON = 0.01  # a line in more than this share of all documents is common
 BLOCK_DOCS = 4096
 
 
@@ -140,7 +139,7 @@ def _found(buckets: int):
 
 
 def _merged(t):
-    """Of a bucket of lines: those of several documents, back to the blocks, with the first document and the number of documents."""
+    """Of a bucket of lines: those of several documents, back to the blocks, with the first document."""
     hs = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
     h, lo = np.concatenate(hs), np.concatenate([_wide(x) for x in t.column("lo").to_pylist()])
     n = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("n").to_pylist()]).astype(np.int64)
@@ -156,34 +155,26 @@ def _merged(t):
         a, b = np.searchsorted(row, (i, i + 1))
         k = np.arange(a, b)[keep[a:b]]
         if len(k):
-            out.append((blocks[i], h[k].tobytes(), _narrow(first[k]), total[k].tobytes()))
-    cols = list(zip(*out, strict=True)) or [[]] * 4
-    return pa.table({"_block": pa.array(cols[0], pa.int32()), "h": pa.array(cols[1], pa.binary()), "lo": pa.array(cols[2], pa.binary()), "n": pa.array(cols[3], pa.binary())})
+            out.append((blocks[i], h[k].tobytes(), _narrow(first[k])))
+    cols = list(zip(*out, strict=True)) or [[]] * 3
+    return pa.table({"_block": pa.array(cols[0], pa.int32()), "h": pa.array(cols[1], pa.binary()), "lo": pa.array(cols[2], pa.binary())})
 
 
-def _partners(common: float):
+def _partners(key, t, back):
     """The pairs of a document and an earlier one that holds one of its lines first."""
-
-    def one(key, t, back):
-        h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in back.column("h").to_pylist())])
-        lo = np.concatenate([np.zeros(0, np.int64), *map(_wide, back.column("lo").to_pylist())])
-        n = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in back.column("n").to_pylist())])
-        o = np.argsort(h)
-        h, lo, n = h[o], lo[o], n[o]
-        ids, pairs = T.ids(t.column("doc_id")), set()
-        for s in T.slices(t.column("text")) if len(h) else ():
-            x = Lines(s)
-            at = np.minimum(np.searchsorted(h, x.hash), len(h) - 1)
-            own = ids[s.lo + x.row]
-            ok = (h[at] == x.hash) & (x.words >= LINE_WORDS) & (lo[at] < own)
-            rare = ok & (n[at] <= common)
-            has = np.bincount(x.row[rare], minlength=s.hi - s.lo) > 0
-            k = np.flatnonzero(rare | (ok & ~has[x.row]))
-            pairs.update(zip(own[k].tolist(), lo[at[k]].tolist(), strict=True))
-        cols = list(zip(*sorted(pairs), strict=True)) or [[], []]
-        return pa.table({"_block": pa.array([key[0].as_py()] * len(cols[0]), pa.int32()), "later": pa.array(cols[0], pa.int64()), "earlier": pa.array(cols[1], pa.int64())})
-
-    return one
+    h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in back.column("h").to_pylist())])
+    lo = np.concatenate([np.zeros(0, np.int64), *map(_wide, back.column("lo").to_pylist())])
+    o = np.argsort(h)
+    h, lo = h[o], lo[o]
+    ids, pairs = T.ids(t.column("doc_id")), set()
+    for s in T.slices(t.column("text")) if len(h) else ():
+        x = Lines(s)
+        at = np.minimum(np.searchsorted(h, x.hash), len(h) - 1)
+        own = ids[s.lo + x.row]
+        k = np.flatnonzero((h[at] == x.hash) & (x.words >= LINE_WORDS) & (lo[at] < own))
+        pairs.update(zip(own[k].tolist(), lo[at[k]].tolist(), strict=True))
+    cols = list(zip(*sorted(pairs), strict=True)) or [[], []]
+    return pa.table({"_block": pa.array([key[0].as_py()] * len(cols[0]), pa.int32()), "later": pa.array(cols[0], pa.int64()), "earlier": pa.array(cols[1], pa.int64())})
 
 
 def _line_hashes(key, t, wanted):
@@ -248,15 +239,14 @@ def _cut(text_at: int, chars_at: int | None, digest: bool, block: str):
     return one
 
 
-def _run(docs: DataFrame, digest: bool, common: float = COMMON, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    rows = docs.count()
-    n = max(1, -(-rows // block_docs))
+def _run(docs: DataFrame, digest: bool, block_docs: int = BLOCK_DOCS) -> DataFrame:
+    n = max(1, -(-docs.count() // block_docs))
     schema, name = docs.schema, "_block"
     while name in docs.columns:  # a column of the input may have this name
         name += "_"
     dealt = docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int"))
-    back = dealt.groupBy(name).applyInArrow(_found(2 * n), "_bucket int, _block int, h binary, lo binary, n binary").groupBy("_bucket").applyInArrow(_merged, "_block int, h binary, lo binary, n binary")
-    pairs = written(dealt.groupBy(name).cogroup(back.groupBy("_block")).applyInArrow(_partners(max(2.0, common * rows)), "_block int, later long, earlier long"))
+    back = dealt.groupBy(name).applyInArrow(_found(2 * n), "_bucket int, _block int, h binary, lo binary, n binary").groupBy("_bucket").applyInArrow(_merged, "_block int, h binary, lo binary")
+    pairs = written(dealt.groupBy(name).cogroup(back.groupBy("_block")).applyInArrow(_partners, "_block int, later long, earlier long"))
     wanted = pairs.select("earlier").distinct().withColumn("_block", F.pmod(F.xxhash64("earlier"), F.lit(n)).cast("int"))
     lines = dealt.groupBy(name).cogroup(wanted.groupBy("_block")).applyInArrow(_line_hashes, "earlier long, lines binary")
     joined = pairs.join(lines, "earlier").select("_block", "later", "lines")
@@ -266,14 +256,14 @@ def _run(docs: DataFrame, digest: bool, common: float = COMMON, block_docs: int
     return dealt.groupBy(name).cogroup(joined.groupBy("_block")).applyInArrow(_cut(names.index("text"), chars, digest, name), out)
 
 
-def deduplicated(docs: DataFrame, common: float = COMMON, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def deduplicated(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """docs (with doc_id and text) without the repeated blocks; documents of which nothing is left go."""
-    return _run(docs, False, common, block_docs)
+    return _run(docs, False, block_docs)
 
 
-def removals(docs: DataFrame, common: float = COMMON, block_docs: int = BLOCK_DOCS) -> DataFrame:
+def removals(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 (of the kept lines joined by line ends) of every row."""
-    return _run(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), True, common, block_docs)
+    return _run(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), True, block_docs)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -141,6 +141,34 @@ def test_line_dedup(spark):
     assert line_dedup.removals(frame(spark, [])).count() == 0
 
 
+def _removed_by_every_earlier(rows):
+    """doc_id to its kept lines when it is compared with every earlier document."""
+    out = {}
+    for i, text in rows:
+        lines, gone = text.split("\n"), set()
+        for j, other in rows:
+            block, before = [], (-9, -9)
+            for a, b in [*(line_dedup.patience(other.split("\n"), lines) if j < i else ()), (-5, -5)]:
+                if (a, b) != (before[0] + 1, before[1] + 1):
+                    if sum(len(words(lines[k])) for k in block) >= line_dedup.BLOCK_WORDS:
+                        gone.update(block)
+                    block = []
+                block.append(b)
+                before = (a, b)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_common_lines_name_partners(spark):
+    """A hot line goes also where a rare line is shared with a document that doesn't hold it."""
+    hot, rare = "this hot line stands in a third of all", "a rare line"
+    rows = [(1, f"{hot}\nbegin"), (2, f"{rare}\nno hot line here"), (3, f"{rare}\n{hot}\nown words here")]
+    rows += [(i, f"only here {i}\n{hot}" if i % 3 else f"nothing of it {i}\nat all") for i in range(4, 40)]
+    want = _removed_by_every_earlier(rows)
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(frame(spark, rows), block_docs=9).collect()}
+    assert want[3] == f"{rare}\nown words here" and got == want
+
+
 def test_patience():
     x, y = list("abcXdefYg"), list("abcdeZfg")
     got = line_dedup.patience(x, y)
