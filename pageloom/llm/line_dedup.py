@@ -1,15 +1,17 @@
 """Line dedup by pairwise alignment.
 
-Documents that share a line are found through line hashes: every line of some words that also stands
-in a document with a smaller doc_id, however many hold it, names the first such document as a
-partner, so that a document has at most as many partners as lines, and a group of copies has one
-partner in common and no pairs among itself.
+Documents that share a line are found through hashes: every line of some words, and every shortest run
+of lines with enough words to be deleted, that also stands in a document with a smaller doc_id, however
+many hold it, names the first such document as a partner. The runs that begin or end at a line cover
+every block that may go, so that each such block names a document that holds it, or the runs it is made
+of, whole. A document has at most three partners a line, and a group of copies has one partner in common
+and no pairs among itself.
 Each document is aligned with its partners by patience diff: the longest increasing chain of common
 lines that are unique on both sides, again between the links of the chain, and equal lines at both
 ends of a gap. Blocks of consecutive aligned lines that hold enough words are deleted from the later
 document.
 
-Line hashes go to buckets once a block of documents, so that a line of a third of all documents is one
+Hashes go to buckets once a block of documents, so that a line of a third of all documents is one
 row a block.
 
 Defined cases: a null or empty text has no line to delete (and stays null in ``deduplicated``); lines
@@ -67,6 +69,26 @@ class Lines:
         self.first = np.searchsorted(self.row, np.arange(rows + 1))
 
 
+def seeds(x: Lines) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes that name partners, and their rows: lines, and the shortest runs of BLOCK_WORDS words from each line on and up to each line."""
+    n = len(x.hash)
+    line = np.flatnonzero(x.words >= LINE_WORDS)
+    if not n:
+        return x.hash[line], x.row[line]
+    total = np.append(0, np.cumsum(x.words))
+    at = np.arange(n)
+    stop = np.searchsorted(total, total[:n] + BLOCK_WORDS)  # of the run that begins at a line
+    ok = stop <= x.first[x.row + 1]
+    begin = np.searchsorted(total, total[1:] - BLOCK_WORDS, "right") - 1  # of the run that ends at a line
+    back = (begin >= x.first[x.row]) & (total[1:] - total[x.first[x.row]] >= BLOCK_WORDS)
+    a, b = np.append(at[ok], begin[back]), np.append(stop[ok], at[back] + 1)
+    a, b = a[b - a > 1], b[b - a > 1]  # one line is there already
+    p = T.powers(T._STEP, n)
+    sums = np.append(np.uint64(0), np.cumsum(x.hash * p, dtype=np.uint64))
+    run = T.mix((sums[b] - sums[a]) * T.powers(pow(T._STEP, -1, 1 << 64), n)[a] + (b - a).astype(np.uint64))
+    return np.append(x.hash[line], run), np.append(x.row[line], x.row[a])
+
+
 def patience(x: list[int], y: list[int]) -> list[tuple[int, int]]:
     """Aligned positions of two sequences, increasing in both."""
     out: list[tuple[int, int]] = []
@@ -118,10 +140,9 @@ def _found(buckets: int):
     def one(key, t):
         hs, ds, ids = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], T.ids(t.column("doc_id"))
         for s in T.slices(t.column("text")):
-            x = Lines(s)
-            ok = x.words >= LINE_WORDS
-            hs.append(x.hash[ok])
-            ds.append(ids[s.lo + x.row[ok]])
+            h, row = seeds(Lines(s))
+            hs.append(h)
+            ds.append(ids[s.lo + row])
         h, d = np.concatenate(hs), np.concatenate(ds)
         o = np.lexsort((d, h))
         h, d = h[o], d[o]
@@ -139,7 +160,7 @@ def _found(buckets: int):
 
 
 def _merged(t):
-    """Of a bucket of lines: those of several documents, back to the blocks, with the first document."""
+    """Of a bucket of hashes: those of several documents, back to the blocks, with the first document."""
     hs = [np.frombuffer(x, np.uint64) for x in t.column("h").to_pylist()]
     h, lo = np.concatenate(hs), np.concatenate([_wide(x) for x in t.column("lo").to_pylist()])
     n = np.concatenate([np.frombuffer(x, np.uint32) for x in t.column("n").to_pylist()]).astype(np.int64)
@@ -161,17 +182,17 @@ def _merged(t):
 
 
 def _partners(key, t, back):
-    """The pairs of a document and an earlier one that holds one of its lines first."""
+    """The pairs of a document and an earlier one that holds one of its lines or runs first."""
     h = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in back.column("h").to_pylist())])
     lo = np.concatenate([np.zeros(0, np.int64), *map(_wide, back.column("lo").to_pylist())])
     o = np.argsort(h)
     h, lo = h[o], lo[o]
     ids, pairs = T.ids(t.column("doc_id")), set()
     for s in T.slices(t.column("text")) if len(h) else ():
-        x = Lines(s)
-        at = np.minimum(np.searchsorted(h, x.hash), len(h) - 1)
-        own = ids[s.lo + x.row]
-        k = np.flatnonzero((h[at] == x.hash) & (x.words >= LINE_WORDS) & (lo[at] < own))
+        x, row = seeds(Lines(s))
+        at = np.minimum(np.searchsorted(h, x), len(h) - 1)
+        own = ids[s.lo + row]
+        k = np.flatnonzero((h[at] == x) & (lo[at] < own))
         pairs.update(zip(own[k].tolist(), lo[at[k]].tolist(), strict=True))
     cols = list(zip(*sorted(pairs), strict=True)) or [[], []]
     return pa.table({"_block": pa.array([key[0].as_py()] * len(cols[0]), pa.int32()), "later": pa.array(cols[0], pa.int64()), "earlier": pa.array(cols[1], pa.int64())})

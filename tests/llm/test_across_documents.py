@@ -169,6 +169,43 @@ def test_common_lines_name_partners(spark):
     assert want[3] == f"{rare}\nown words here" and got == want
 
 
+def test_blocks_name_the_document_that_holds_them_whole(spark):
+    """A block of short lines goes though each of its lines stands first in another document."""
+    import random
+
+    r = random.Random(4)
+    short = [f"short {i} line" for i in range(9)]
+    rows = [(i, f"own {i}\n{x}\nend {i}") for i, x in enumerate(short)]
+    rows += [(20, "\n".join(["head", *short[:3], "", *short[3:6], "tail"])), (21, "\n".join(["before", *short[:3], "", "after"])), (22, "\n".join(["1", "2", "", *short[3:6]])), (23, "\n".join([*short[1:3], "", short[3]]))]
+    blocks = [short[i : i + 3] for i in (0, 3, 6)]
+    rows += [(i, "\n".join(y for k in sorted(r.sample(range(3), 2)) for y in [f"own {i} {k}", *blocks[k]])) for i in range(30, 60)]
+    want = _removed_by_every_earlier(rows)
+    got = {r.doc_id: r.text for r in line_dedup.deduplicated(frame(spark, rows), block_docs=9).collect()}
+    assert want[21] == "before\nafter" and want[22] == "1\n2"
+    assert got == {i: x for i, x in want.items() if x.strip()}
+
+
+def test_seeds_are_the_shortest_runs():
+    """The runs of each document and no other, by counting words."""
+    import numpy as np
+    import pyarrow as pa
+
+    from pageloom.llm import tokens
+
+    texts = ["a b c\n\nd e f\ng h i\nj", "", "one two three four five six seven eight\nx\n\n", "p\nq", "a b c\n\nd e f\ng h i\nk", "\n".join("t u" for _ in range(9))]
+    (s,) = tokens.slices(pa.array(texts))
+    x = line_dedup.Lines(s)
+    h, row = line_dedup.seeds(x)
+    for i in range(len(texts)):
+        lines = x.hash[x.first[i] : x.first[i + 1]].tolist()
+        n = x.words[x.first[i] : x.first[i + 1]].tolist()
+        runs = [(a, b) for a in range(len(n)) for b in range(a + 1, len(n) + 1) if sum(n[a:b]) >= line_dedup.BLOCK_WORDS]
+        least = {(a, min(b for p, b in runs if p == a)) for a, _ in runs} | {(max(a for a, q in runs if q == b), b) for _, b in runs}
+        want = {tuple(lines[a:b]) for a, b in least if b - a > 1} | {(v,) for v, w in zip(lines, n) if w >= line_dedup.LINE_WORDS}
+        assert len(want) == len(np.unique(h[row == i]))
+    assert len(np.intersect1d(h[row == 0], h[row == 4])) == len(np.unique(h[row == 0])) - 1  # all but those with the last line
+
+
 def test_patience():
     x, y = list("abcXdefYg"), list("abcdeZfg")
     got = line_dedup.patience(x, y)
