@@ -168,14 +168,24 @@ def anomalies(spark, sf_dir):
     return metrics.anomalies(_stats(spark, sf_dir))
 
 
-@query("SELECT item_id, round(levenshtein(left(t, 200) || 'x', t) / length(t)::DOUBLE, 6) AS cer FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) WHERE length(t) > 0")
-def cer(spark, sf_dir):
-    """ASCII items only: DuckDB's distance counts bytes."""
+def _cer(items):
     t = X.strip(F.regexp_replace("text", r"\s+", " "))
-    b = table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")).select("item_id", t.alias("t")).where("length(t) > 0")
+    b = items.select("item_id", t.alias("t")).where("length(t) > 0")
     return b.select("item_id", F.round(metrics.error_rate(F.concat(F.substring("t", 1, 200), F.lit("x")), F.col("t")), 6).alias("cer"))
 
 
+@query("SELECT item_id, round(levenshtein(left(t, 200) || 'x', t) / length(t)::DOUBLE, 6) AS cer FROM (SELECT item_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS t FROM benchmark WHERE NOT regexp_matches(text, '[^\\x00-\\x7F]')) WHERE length(t) > 0")
+def cer(spark, sf_dir):
+    """ASCII items only, as in its SQL: DuckDB's distance counts bytes. cer_every_item has all items."""
+    return _cer(table(spark, sf_dir, "benchmark").where(~F.col("text").rlike(r"[^\x00-\x7F]")))
+
+
+@query()
+def cer_every_item(spark, sf_dir):
+    """Without SQL, as DuckDB's distance counts bytes; a test holds it against brute force on code points."""
+    return _cer(table(spark, sf_dir, "benchmark"))
+
+
 @query(r"SELECT doc_id, regexp_replace(regexp_replace(replace(regexp_replace(replace(text, ' e', ' •e'), '(\S)[ \t]*(•)', '\1' || chr(10) || '\2', 'g'), chr(0), ''), '(?m)^[●•][\x{200b}\s]*', '- ', 'g'), '(?m)^[○◦][\x{200b}\s]*', '  - ', 'g') AS text FROM documents WHERE NOT regexp_matches(text, '[●○◦•]')")
 def bullets(spark, sf_dir):
     """Bullets put before some words of the texts."""

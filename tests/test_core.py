@@ -237,6 +237,26 @@ def test_jobs(spark):
 SF = "/root/testdata/sf0.001"
 
 
+def test_cer_every_item(spark, tmp_path):
+    """Accented and other letters get a row each, and one edit a letter."""
+    texts = ["plain words", "été à l’école", "größer  als\ndie Straße", "¿dónde está?" * 30, "가나다 라", "long enough " * 25, " ", None]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[-1] + 1, above[j - 1] + (x != y)))
+        return row[-1]
+
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one = [(i, " ".join(t.split())) for i, t in enumerate(texts) if t and t.strip()]
+    want = {i: pytest.approx(distance(t[:200] + "x", t) / len(t), abs=1e-6) for i, t in one}
+    assert {r.item_id: r.cer for r in registry.QUERIES["cer_every_item"](spark, str(tmp_path)).collect()} == want
+    ascii_only = {r.item_id for r in registry.QUERIES["cer"](spark, str(tmp_path)).collect()}
+    assert ascii_only == {0, 5}
+
+
 @pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_queries_equal_sql(spark, name):
     con = duckdb.connect()
