@@ -26,7 +26,7 @@ rows are copies; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +35,11 @@ from pyspark.sql import functions as F
 
 from . import tokens as T
 from .components import components
-from .shared import table, written
+from .shared import discarded, table, written
 
 SHINGLE, PERCENT = 4, 85
 LATE = 200_000  # most frequent shingles that are put last in the order; broadcast
-SMALL = 256  # members of a region that are compared all with all
+SMALL = 1024  # a region is split if it has more pairs than the square of this
 
 
 def sets(s: T.Slice, k: int) -> list[np.ndarray]:
@@ -58,7 +58,7 @@ def sets(s: T.Slice, k: int) -> list[np.ndarray]:
 
 def _sketch(x: np.ndarray) -> bytes:
     """The parities of the numbers of shingles by their low bits; more of them for larger sets."""
-    bits = 10 if len(x) <= 750 else 12 if len(x) <= 3000 else 14 if len(x) <= 40000 else 16
+    bits = 8 if len(x) <= 200 else 10 if len(x) <= 1500 else 12 if len(x) <= 6000 else 14 if len(x) <= 40000 else 16
     return np.packbits(np.bincount((x & np.uint64((1 << bits) - 1)).astype(np.int64), minlength=1 << bits) & 1).tobytes()
 
 
@@ -77,9 +77,9 @@ def _nodes(docs: DataFrame, k: int) -> DataFrame:
             ids = T.ids(b.column(0))
             for s in T.slices(b.column(1)):
                 x = sets(s, k)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[s.lo : s.hi]), pa.array([len(v) for v in x], pa.int64()), pa.array([_sid(v) for v in x], pa.int64()), pa.array([_sketch(v) if len(v) else b"" for v in x], pa.binary())], ["doc_id", "n", "sid", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[s.lo : s.hi]), pa.array([len(v) for v in x], pa.int32()), pa.array([_sid(v) for v in x], pa.int64()), pa.array([_sketch(v) if len(v) else b"" for v in x], pa.binary())], ["doc_id", "n", "sid", "sketch"])
 
-    return docs.mapInArrow(rows, "doc_id long, n long, sid long, sketch binary")
+    return docs.mapInArrow(rows, "doc_id long, n int, sid long, sketch binary")
 
 
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -97,7 +97,11 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def _first_regions(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> DataFrame:
-    """h, sid, n: each set's replicas in the regions of its first shingles."""
+    """h, sid, n, top: each set's replicas in the regions of its first shingles, and the size of the largest partner there.
+
+    The region that counts for a pair is that of its first common shingle. If that is a set's i-th, the
+    two have at most n - i in common, which bounds the partner's size.
+    """
     order = np.argsort(late)
     known = docs.sparkSession.sparkContext.broadcast((late[order], order))
 
@@ -106,44 +110,47 @@ def _first_regions(docs: DataFrame, k: int, percent: int, late: np.ndarray) -> D
         seen: set[int] = set()
         for b in batches:
             for s in T.slices(b.column(1)):
-                hs, sids, ns = [], [], []
+                hs, sids, ns, tops = [], [], [], []
                 for x in sets(s, k):
                     if not len(x) or (sid := _sid(x)) in seen:
                         continue
                     seen.add(sid)
-                    p = len(x) + (-percent * len(x) // 100) + 1
+                    n = len(x)
+                    p = n + (-percent * n // 100) + 1
                     if len(late):
                         at = np.minimum(np.searchsorted(late, x), len(late) - 1)
                         is_late = late[at] == x
                         early = x[~is_late]
                         if len(early) < p:
                             early = np.concatenate([early, x[is_late][np.argsort(rank[at[is_late]])]])
-                        x, n = early[:p], len(x)
-                    else:
-                        x, n = x[:p], len(x)
-                    hs.append(x)
-                    sids.append(np.full(len(x), sid))
-                    ns.append(np.full(len(x), n))
+                        x = early
+                    hs.append(x[:p])
+                    sids.append(np.full(p, sid))
+                    ns.append(np.full(p, n))
+                    tops.append((n - np.arange(p)) * (100 + percent) // percent - n)
                 if len(seen) > 200_000:  # copies are then sent again, which changes nothing
                     seen.clear()
                 if hs:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns))], ["h", "sid", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(sids)), pa.array(np.concatenate(ns), pa.int32()), pa.array(np.concatenate(tops), pa.int32())], ["h", "sid", "n", "top"])
 
-    return docs.mapInArrow(rows, "h long, sid long, n long")
+    return docs.mapInArrow(rows, "h long, sid long, n int, top int")
 
 
 def _shared_regions(percent: int):
     """Of a bucket of replicas: those in whose region another set has a size that allows a link."""
 
     def one(t):
-        h, sid, n = (t.column(c).to_numpy() for c in ("h", "sid", "n"))
+        h, sid, n, top = (t.column(c).to_numpy() for c in ("h", "sid", "n", "top"))
         o = np.lexsort((sid, n, h))
-        h, sid, n = h[o], sid[o], n[o]
-        new = np.append(True, (h[1:] != h[:-1]) | (sid[1:] != sid[:-1]))[: len(h)]
-        h, sid, n = h[new], sid[new], n[new]
-        close = (h[1:] == h[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        keep = np.append(False, close) | np.append(close, False) if len(h) else np.zeros(0, bool)
-        return pa.table({"h": h[keep], "sid": sid[keep]})
+        o = o[np.append(True, (h[o][1:] != h[o][:-1]) | (sid[o][1:] != sid[o][:-1]))[: len(o)]]
+        for _ in range(2):  # a second time without those that the first has excluded
+            h, sid, n, top = h[o], sid[o], n[o].astype(np.int64), top[o].astype(np.int64)
+            region = np.cumsum(np.append(False, h[1:] != h[:-1])[: len(h)]) << 32
+            size = region + n
+            first, end = np.searchsorted(size, region + -(-percent * n // 100)), np.searchsorted(size, region + top, "right")
+            # some other set is small enough for this one, and this one is small enough for some set as large as any of those
+            o = np.flatnonzero(end - first > (top >= n))
+        return pa.table({"h": h[o], "sid": sid[o]})
 
     return one
 
@@ -152,19 +159,29 @@ class _Region:
     """The sets of one bucket and the search for pairs that may link."""
 
     def __init__(self, n: np.ndarray, sketches: list[bytes], percent: int) -> None:
-        self.n, self.percent, self.sketches = n.astype(np.int64), percent, sketches
-        self.width = np.array([len(c) for c in sketches])
-        self.v = np.stack([self.folded(c, 128) for c in sketches]) if sketches else np.zeros((0, 16), np.uint64)
+        self.n, self.percent = n.astype(np.int64), percent
+        self.width = np.array([len(c) for c in sketches], np.int64)
+        self.folds: dict[int, tuple[np.ndarray, np.ndarray]] = {}  # by width: the row of each set, and the rows
+        for w in np.unique(self.width).tolist():
+            at = np.flatnonzero(self.width >= w)
+            row = np.full(len(sketches), -1)
+            row[at] = np.arange(len(at))
+            self.folds[w] = row, np.stack([self.folded(sketches[i], w) for i in at.tolist()])
 
     @staticmethod
     def folded(sketch: bytes, width: int) -> np.ndarray:
         """The sketch that fewer low bits give."""
-        return np.bitwise_xor.reduce(np.frombuffer(sketch, np.uint64).reshape(-1, width // 8), axis=0)
-
-    @staticmethod
-    def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Hamming distance of sketches."""
-        return np.bitwise_count(a ^ b).sum(-1, dtype=np.int64)
+        v = np.frombuffer(sketch, np.uint64)
+        return v if len(sketch) == width else np.bitwise_xor.reduce(v.reshape(-1, width // 8), axis=0)
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Hamming distances of sketches folded to the smaller of two widths, and these widths in bits."""
+        w, out = np.minimum(self.width[a], self.width[b]), np.zeros(len(a), np.int64)
+        for one, (row, v) in self.folds.items():
+            k = np.flatnonzero(w == one)
+            if len(k):
+                out[k] = np.bitwise_count(v[row[a[k]]] ^ v[row[b[k]]]).sum(-1, dtype=np.int64)
+        return out, 8 * w
 
     def bound(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The largest symmetric difference of linked sets of these sizes; -1 if the sizes exclude a link."""
@@ -173,60 +190,85 @@ class _Region:
         return np.where(100 * np.minimum(self.n[a], self.n[b]) >= self.percent * np.maximum(self.n[a], self.n[b]), most, -1)
 
     def may_link(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The pairs that sketches don't exclude, and their distances in tenths of the bound."""
+        """The pairs that sketches don't exclude, and the symmetric difference that the sketches let expect over the largest that links."""
         out = []
         for i in range(0, len(a), 100_000):
             x, y = a[i : i + 100_000], b[i : i + 100_000]
             most = self.bound(x, y)
             ok = most >= 0
             x, y, most = x[ok], y[ok], most[ok]
-            d = self.apart(self.v[x], self.v[y])
+            d, bits = self.apart(x, y)
             ok = d <= most
-            for j in np.flatnonzero(ok & (self.width[x] > 128) & (self.width[y] > 128)).tolist():
-                w = min(self.width[x[j]], self.width[y[j]])
-                d[j] = self.apart(self.folded(self.sketches[x[j]], w), self.folded(self.sketches[y[j]], w))
-                ok[j] = d[j] <= most[j]
-            out.append((x[ok], y[ok], 10 * d[ok] // np.maximum(most[ok], 1)))
-        return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-    def pairs(self, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Pairs of members that may link, maybe some of them twice."""
-        m = len(members)
-        if m <= SMALL:
-            i, j = np.triu_indices(m, 1)
-            yield self.may_link(members[i], members[j])
+            x, y, most, d, bits = x[ok], y[ok], most[ok], d[ok], bits[ok]
+            out.append((x, y, -np.log(np.maximum(1 - 2 * d / bits, 1e-9)) * bits / 2 / np.maximum(most, 1)))
+        return tuple(np.concatenate(v) for v in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+
+    def hubs(self, members: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of the member in the middle of those that no hub has joined yet and the others, as long as many get joined (in ``root``)."""
+        row, v = self.folds[int(self.width[members].min())]
+        while len(members) > SMALL // 4:
+            own = v[row[members]]
+            some = np.unpackbits(own[np.linspace(0, len(own) - 1, min(len(own), 1024)).astype(np.int64)].view(np.uint8), axis=1)
+            middle = np.packbits(2 * some.sum(0) > len(some)).view(np.uint64)
+            hub = members[np.bitwise_count(own ^ middle).sum(1, dtype=np.int64).argmin()]
+            others = members[members != hub]
+            yield self.may_link(np.full(len(others), hub), others)
+            left = members[root[members] != root[hub]]
+            if len(left) > 0.9 * len(members):
+                return
+            members = left
+
+    def pairs(self, members: np.ndarray, root: np.ndarray | None = None, done: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Once each, the pairs of members of different roots that may link, but for pairs of two that are ``done``; without roots all that may link."""
+        root = np.arange(len(self.n)) if root is None else root
+        r, n = np.unique(root[members], return_counts=True)
+        if len(r) > 1:
+            most = root[members] == r[n.argmax()]
+            if done is not None and done.sum() > most.sum():
+                most = done
+            yield from self._cells(members[~most], members[most], root)
+
+    def _cells(self, home: np.ndarray, guest: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The pairs of a home member and another member: the home members' cells around pivots, with the guests within the window."""
+        members, m = np.append(home, guest), len(home)
+        if m * len(members) <= SMALL * SMALL or m <= SMALL // 16:
+            yield from self._windows(home, guest, root)
             return
-        members = members[np.argsort(self.n[members], kind="stable")]
-        pivots = members[np.linspace(0, m - 1, 12).astype(np.int64)]
-        d = np.stack([self.apart(self.v[members], self.v[p]) for p in pivots], axis=1)
-        home = d.argmin(1)
+        row, v = self.folds[int(self.width[members].min())]
+        pivots = home[np.argsort(self.n[home], kind="stable")[np.linspace(0, m - 1, 12).astype(np.int64)]]
+        d = np.stack([np.bitwise_count(v[row[members]] ^ v[row[p]]).sum(1, dtype=np.int64) for p in pivots.tolist()], axis=1)
+        cell, at_home = d.argmin(1), np.arange(len(members)) < m
         # a partner is at most so far away, whatever its size
         reach = (self.n[members] * (1 + 100 / self.percent) * (100 - self.percent) / (100 + self.percent)).astype(np.int64) + 1
-        guest = d - d[np.arange(m), home][:, None] <= 2 * reach[:, None]
+        near = d - d.min(1)[:, None] <= 2 * reach[:, None]
         for p in range(len(pivots)):
-            at = (home == p) | guest[:, p] if (home == p).any() else np.zeros(m, bool)
-            part = members[at]
-            if len(part) > 0.7 * m:  # pivots don't separate these: all within the window of distances to the pivot
-                near = d[at, p]
-                o = np.argsort(near, kind="stable")
-                part, near, far = part[o], near[o], reach[at][o]
-                end = np.searchsorted(near, near + far, "right")
-                i = 0
-                while i < len(part):
-                    j = i + 1
-                    while j < len(part) and (end[i:j] - np.arange(i, j)).sum() < 200_000:
-                        j += 1
-                    size = end[i:j] - np.arange(i, j) - 1
-                    a = np.repeat(np.arange(i, j), size)
-                    b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(size) - size, size)
-                    yield self.may_link(part[a], part[b])
-                    i = j
-            elif len(part) > 1:
-                yield from self.pairs(part)
-
-
-def _regions(members, sketches, percent: int) -> tuple[np.ndarray, Callable]:
-    """The different sets of a bucket in order, and all pairs of its regions that may link. Members without a sketch are left out."""
+            a = members[at_home & (cell == p)]
+            b = members[near[:, p] & (~at_home | (cell > p))]
+            if len(a) * (len(a) + len(b)) > 0.5 * m * len(members):
+                yield from self._windows(a, b, root)
+            elif len(a):
+                yield from self._cells(a, b, root)
+
+    def _windows(self, home: np.ndarray, guest: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same by comparing every pair whose sizes allow a link."""
+        home, guest = home[np.argsort(self.n[home], kind="stable")], guest[np.argsort(self.n[guest], kind="stable")]
+        n, most = self.n[home], 100 * self.n[home] // self.percent
+        least = -(-self.percent * n // 100)
+        for others, first, end in ((home, np.arange(1, len(home) + 1), np.searchsorted(n, most, "right")), (guest, np.searchsorted(self.n[guest], least), np.searchsorted(self.n[guest], most, "right"))):
+            total = np.append(0, np.cumsum(end - first))
+            i = 0
+            while i < len(home):
+                j = max(i + 1, int(np.searchsorted(total, total[i] + 500_000, "right")) - 1)
+                size = end[i:j] - first[i:j]
+                a = np.repeat(home[i:j], size)
+                b = others[np.arange(len(a)) - np.repeat(np.cumsum(size) - size - first[i:j], size)]
+                k = root[a] != root[b]
+                yield self.may_link(a[k], b[k])
+                i = j
+
+
+def _regions(members, sketches, percent: int) -> tuple[np.ndarray, _Region, list[np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """The different sets of a bucket in order, the large regions, and the pairs of the small ones. Members without a sketch are left out."""
     sid = sketches.column("own").to_numpy()
     o = np.argsort(sid)
     own = sid[o]
@@ -235,32 +277,43 @@ def _regions(members, sketches, percent: int) -> tuple[np.ndarray, Callable]:
     at = np.minimum(np.searchsorted(own, sid), max(0, len(own) - 1))
     known = own[at] == sid if len(own) else np.zeros(len(sid), bool)
     h, at = h[known], at[known]
-
-    def pairs() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        o = np.argsort(h, kind="stable")
-        cut = np.flatnonzero(h[o][1:] != h[o][:-1]) + 1
-        start, size = np.append(0, cut), np.diff(np.concatenate([[0], cut, [len(h)]]))
-        small = []
-        for a, m in zip(start.tolist(), size.tolist(), strict=True):
-            members = at[o[a : a + m]]
-            if m > 48:
-                yield from region.pairs(np.unique(members))
-            elif m > 1:
-                i, j = np.triu_indices(m, 1)
-                x, y = members[i], members[j]
-                small.append(np.minimum(x, y) * len(own) + np.maximum(x, y))
-        if small:
-            key = np.unique(np.concatenate(small))
-            yield region.may_link(key // len(own), key % len(own))
-
-    return own, pairs
+    o = np.lexsort((at, h))
+    h, at = h[o], at[o]
+    new = np.append(True, (h[1:] != h[:-1]) | (at[1:] != at[:-1]))[: len(h)]
+    h, at = h[new], at[new]
+    start = np.flatnonzero(np.append(True, h[1:] != h[:-1]))[: len(h)] if len(h) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(h)))
+    large = [at[i : i + m] for i, m in zip(start[size > 48].tolist(), size[size > 48].tolist(), strict=True)]
+    keys = [np.zeros(0, np.int64)]
+    for m in np.unique(size[(size > 1) & (size <= 48)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        rows = at[start[size == m][:, None] + np.arange(m)]
+        keys.append(np.unique(rows[:, i] * len(own) + rows[:, j]))
+    key = np.unique(np.concatenate(keys))
+    return own, region, sorted(large, key=len, reverse=True), (key // max(1, len(own)), key % max(1, len(own)))
+
+
+def _searched(region: _Region, large: list[np.ndarray], small: tuple[np.ndarray, np.ndarray], root: np.ndarray, hubs: bool) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All pairs of different roots that share a region and may link; ``root`` may be joined further between two of them."""
+    before = np.zeros((len(large), -(-len(root) // 8)), np.uint8)  # members of the regions searched before, in bits
+    for i, members in enumerate(large):
+        own = np.zeros(len(root), bool)
+        own[members] = True
+        before[i] = np.packbits(own)
+        common = np.bitwise_count(before[:i] & before[i]).sum(1, dtype=np.int64)
+        done = np.unpackbits(before[common.argmax()], count=len(root))[members] > 0 if i else None
+        if hubs and (done is None or (~done).sum() > SMALL // 4):
+            yield from region.hubs(members, root)
+        yield from region.pairs(members, root, done)
+    k = root[small[0]] != root[small[1]]
+    yield region.may_link(small[0][k], small[1][k])
 
 
 def _forest(percent: int):
-    """a, b: of the pairs of a bucket that may link, enough to connect all that they connect, close ones first."""
+    """a, b: of the pairs of a bucket that may link, enough to connect all that they connect, likely ones first."""
 
     def one(members, sketches):
-        own, pairs = _regions(members, sketches, percent)
+        own, region, large, small = _regions(members, sketches, percent)
         root, out = np.arange(len(own)), []
 
         def find(i: int) -> int:
@@ -269,17 +322,38 @@ def _forest(percent: int):
                 i = root[i]
             return i
 
-        for least, most in ((0, 7), (8, 10)):
-            for a, b, d in pairs():
-                while not np.array_equal(up := root[root], root):
-                    root[:] = up
-                k = np.flatnonzero((d >= least) & (d <= most) & (root[a] != root[b]))
-                k = k[np.argsort(d[k], kind="stable")]
-                for x, y in zip(a[k].tolist(), b[k].tolist(), strict=True):
-                    p, q = find(x), find(y)
-                    if p != q:
-                        root[max(p, q)] = min(p, q)
-                        out.append((x, y))
+        def join(a: np.ndarray, b: np.ndarray) -> None:
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                p, q = find(x), find(y)
+                if p != q:
+                    root[max(p, q)] = min(p, q)
+                    out.append((x, y))
+            while not np.array_equal(up := root[root], root):
+                root[:] = up
+
+        def open_(held):
+            """The most likely pair of each two roots that are still apart."""
+            a, b, d = (np.concatenate(v) for v in zip(*held, strict=True))
+            p, q = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+            o = np.lexsort((d, q, p))
+            new = np.append(True, (p[o][1:] != p[o][:-1]) | (q[o][1:] != q[o][:-1]))[: len(o)]
+            o = o[new & (p[o] != q[o])]
+            return a[o], b[o], d[o]
+
+        held, n = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        for a, b, d in _searched(region, large, small, root, True):
+            k = np.flatnonzero(d <= 1)
+            k = k[np.argsort(d[k], kind="stable")]
+            join(a[k], b[k])
+            k = np.flatnonzero((d > 1) & (root[a] != root[b]))
+            held.append((a[k], b[k], d[k]))
+            n += len(k)
+            if n > 500_000:
+                held = [open_(held)]
+                n = len(held[0][0]) // 2
+        a, b, d = open_(held)
+        o = np.argsort(d, kind="stable")
+        join(a[o], b[o])
         x, y = (own[np.array(v, np.int64)] for v in (zip(*out, strict=True) if out else ([], [])))
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
@@ -290,12 +364,11 @@ def _across(percent: int):
     """a, b: the pairs of a bucket that may link and lie in different components."""
 
     def one(members, sketches):
-        own, pairs = _regions(members, sketches, percent)
+        own, region, large, small = _regions(members, sketches, percent)
         label = sketches.column("label").to_numpy()[np.argsort(sketches.column("own").to_numpy())]
         found = [np.zeros(0, np.int64)]
-        for a, b, _ in pairs():
-            ok = label[a] != label[b]
-            found.append(np.unique(np.minimum(a[ok], b[ok]) * len(own) + np.maximum(a[ok], b[ok])))
+        for a, b, _ in _searched(region, large, small, label, False):
+            found.append(np.minimum(a, b) * len(own) + np.maximum(a, b))
         key = np.unique(np.concatenate(found))
         return pa.table({"a": own[key // max(1, len(own))], "b": own[key % max(1, len(own))]})
 
@@ -320,35 +393,46 @@ def _whole(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(rows, "sid long, shingles array<long>")
 
 
+def _placed(shared: DataFrame, sets_: DataFrame) -> DataFrame:
+    """part and the columns of sets_ (own, ...): a set once for each bucket that has regions of it."""
+    return shared.select(F.col("bucket").alias("part"), F.col("sid").alias("own")).distinct().join(sets_, "own")
+
+
 def clustered(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     nodes = written(_nodes(docs, k))
     buckets = max(1, nodes.count() // 2048)
-    kinds = written(nodes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
+    kinds = nodes.where("n > 0").groupBy("sid").agg(F.min("doc_id").alias("doc_id"))
     bucket = F.pmod(F.col("h"), F.lit(buckets)).alias("bucket")
-    replicas = _first_regions(docs, k, percent, _frequent(docs, k))
-    shared = written(replicas.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_shared_regions(percent), "h long, sid long")).withColumn("bucket", bucket)
-    # a set's sketch goes once to each bucket that has regions of it
-    sketches = shared.select(F.col("bucket").alias("part"), F.col("sid").alias("own")).distinct().join(kinds.select(F.col("sid").alias("own"), "n", "sketch"), "own")
-    first = written(shared.groupBy("bucket").cogroup(sketches.groupBy("part")).applyInArrow(_forest(percent), "a long, b long").distinct())
-    near = first.select(F.col("a").alias("sid")).unionByName(first.select(F.col("b").alias("sid"))).distinct()
-    members = near.join(kinds.select("sid", "doc_id"), "sid").select(F.when(F.col("doc_id") != T.NO_ID, F.col("doc_id")).alias("doc_id")).distinct()
-    whole = written(_whole(docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi"), k).dropDuplicates(["sid"]).join(near, "sid", "left_semi"))
-    one = written(_verified(first, whole, percent))
-    labels = components(one)
-    linked = sketches.join(near.withColumnRenamed("sid", "own"), "own").join(labels.withColumnRenamed("node", "own"), "own", "left").select("part", "own", "n", "sketch", F.coalesce("label", "own").alias("label"))
-    rest = shared.groupBy("bucket").cogroup(linked.groupBy("part")).applyInArrow(_across(percent), "a long, b long").distinct()
-    two = written(_verified(rest, whole, percent))
-    if not two.isEmpty():
-        labels = components(one.unionByName(two))
-    named = labels.join(kinds.select(F.col("sid").alias("node"), "doc_id"), "node")
-    groups = named.groupBy("label").agg(F.min("doc_id").alias("least"))
-    named = named.join(groups, "label").select(F.col("node").alias("sid"), "least")
-    named = kinds.select("sid", "doc_id").join(named, "sid", "left").select("sid", F.coalesce("least", "doc_id").alias("component_id"))
+    shared = written(_first_regions(docs, k, percent, _frequent(docs, k)).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(_shared_regions(percent), "h long, sid long"))
+    sketches = nodes.where("n > 0").select(F.col("sid").alias("own"), "n", "sketch").join(shared.select(F.col("sid").alias("own")).distinct(), "own", "left_semi").dropDuplicates(["own"])
+    shared_in = shared.withColumn("bucket", bucket)
+    first = written(shared_in.groupBy("bucket").cogroup(_placed(shared_in, sketches).groupBy("part")).applyInArrow(_forest(percent), "a long, b long").distinct())
+    near = written(first.select(F.explode(F.array("a", "b")).alias("sid")).distinct())
+    members = nodes.join(near, "sid", "left_semi").select(F.when(F.col("doc_id") != T.NO_ID, F.col("doc_id")).alias("doc_id")).distinct()
+    whole = written(_whole(docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi"), k).join(near, "sid", "left_semi").dropDuplicates(["sid"]))
+    links = written(_verified(first, whole, percent))
+    labels = components(links)
+    # A component of candidates that the verified links don't hold together: its parts are searched for other links.
+    label = lambda c: labels.select(F.col("node").alias(c), F.col("label").alias("l" + c))
+    torn = first.join(links, ["a", "b"], "left_anti").join(label("a"), "a", "left").join(label("b"), "b", "left").select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y")).where("x <> y")
+    torn = torn.select(F.explode(F.array("x", "y")).alias("label")).distinct()
+    parts = near.withColumnRenamed("sid", "node").join(labels, "node", "left").select(F.col("node").alias("own"), F.coalesce("label", "node").alias("label")).join(torn, "label", "left_semi")
+    parts = written(parts.select("own", "label"))
+    if not parts.isEmpty():
+        open_ = shared_in.join(parts.select(F.col("own").alias("sid")), "sid", "left_semi")
+        rest = open_.groupBy("bucket").cogroup(_placed(open_, sketches.join(parts, "own")).groupBy("part")).applyInArrow(_across(percent), "a long, b long").distinct()
+        more = written(_verified(rest.join(first, ["a", "b"], "left_anti"), whole, percent))
+        if not more.isEmpty():
+            labels = components(links.unionByName(more))
+    named = kinds.join(labels.withColumnRenamed("node", "sid"), "sid", "left").select("sid", "doc_id", F.coalesce("label", "sid").alias("label"))
+    groups = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    named = written(named.join(groups, "label").select("sid", "component_id"))
+    discarded(shared, first, near, whole, links, parts)
     out = nodes.select("doc_id", "n", F.when(F.col("n") > 0, F.col("sid")).alias("sid")).join(named, "sid", "left")
     null = lambda c: F.when(c != T.NO_ID, c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("component_id", "doc_id")).alias("component_id"))
+    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), null(F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """A new path below spark.checkpoint.dir, which is set to a temporary folder only where it is unset, as in tests."""
+    """A new path below spark.checkpoint.dir. Only where one machine does all, as in tests, may that be unset: a temporary folder takes its place."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="pageloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{uuid.uuid4().hex}"
@@ -21,7 +23,17 @@ def written(df: DataFrame) -> DataFrame:
     """Writes df as Parquet to the shared folder and reads it again, so that later jobs don't depend on an executor's files."""
     path = folder(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    df.sparkSession._jvm.System.gc()  # Spark then drops the shuffle files of jobs that are done
+    return out
+
+
+def discarded(*dfs: DataFrame) -> None:
+    """Deletes what ``written`` has written for these, whose last reader is done."""
+    for df in dfs:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
