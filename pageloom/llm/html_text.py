@@ -8,12 +8,16 @@ carry ``data-label``), and sum-product message passing, up and then down the tre
 leaf's marginal. Leaves that are more likely content than not make up the text.
 
 Trees of a batch go through the passes together, one depth at a time. Comments, scripts, styles and
-the head never become nodes; character references are decoded; white space in a block is one space;
-``br`` is white space; blocks are joined by ``\\n`` in page order.
-
-Defined cases: null or empty html gives an empty text; text without tags is one block; broken markup
-is closed as browsers do, as far as that changes blocks; a null page_id or url stays null; repeated
-rows are extracted each; other columns are ignored.
+the title never become nodes, nor do ``noscript``, ``template``, drawings and players with what they
+hold; character references are decoded; white space in a block is one space; ``br`` is white space,
+other tags within a block are nothing; blocks are joined by ``\\n`` in page order. A list of nothing
+but links counts as a menu, also inside the article.
+
+Defined cases: null or empty html gives an empty text; text without tags is one block; a head, body
+or paragraph may lack its tags; broken markup is closed as browsers do, as far as that changes
+blocks: a script, style, frame, title or comment that nothing closes takes the rest, any other
+element doesn't; a block as likely content as not is content; a null page_id or url stays null;
+repeated rows are extracted each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from __future__ import annotations
 import html as H
 import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -63,8 +68,11 @@ _KIND, _HINT = {k: i for i, k in enumerate(KINDS)}, {k: i for i, k in enumerate(
 _LEAF = _KIND["leaf"]
 SIZES, LINKS, ENDS = 6, 3, 4  # values of the three features of a leaf; 0 for elements
 
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|math|iframe|object|title|textarea|canvas|audio|video|head)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
-_HEAD = re.compile(r"<head\b.*?(?:</head\s*>|(?=<body\b))", re.S | re.I)
+_ATTRS = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Comments, elements whose content is no markup (to the page's end where none closes them, as in browsers), declarations.
+_DROP = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<(script|style|iframe|title|textarea|noembed|noframes|xmp)\b{_ATTRS}>.*?(?:</\1\b[^>]*>|\Z)|<!\[CDATA\[|\]\]>|<[!?][^>]*>", re.S | re.I)
+#: Elements that are left out whole where they are closed; where they aren't, only the tag is.
+_SKIPPED = {k: re.compile(rf"</{k}\b[^>]*>", re.I) for k in ("noscript", "template", "svg", "math", "object", "canvas", "audio", "video")}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 _CUT = re.compile(r"<[a-zA-Z/!?][^<>]*\Z")
 _ATTR = re.compile(r"\b(class|id|role|style|data-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b(?!\s*=)|aria-(hidden)\s*=\s*\"true\"", re.I)
@@ -124,11 +132,13 @@ class Trees:
         return len(self.parent) - 1
 
     def parse(self, page: int, source: str) -> None:
-        source = _CUT.sub("", _DROP.sub(" ", _HEAD.sub(" ", source)))
+        source = _CUT.sub("", _DROP.sub("", source))
         root = self._add(page, -1, _KIND["root"], label=0)
         stack: list[tuple[str, int]] = [("html", root)]
         run: list[str] = []
         linked, anchors, at = 0, 0, 0
+        opened: Counter[str] = Counter()  # elements on the stack, by name
+        unclosed: set[str] = set()
 
         def flush() -> None:
             nonlocal linked
@@ -141,7 +151,12 @@ class Trees:
                 self._add(page, stack[-1][1], _LEAF, 0, size, 1 if share < 0.1 else 2, 1 if text[-1] in ".!?…\"”»:;" else 2 if text[0] in "©®™" or "©" in text else 3, self.label[stack[-1][1]] or 1, text)
             linked = 0
 
-        for m in _TAG.finditer(source):
+        def close(k: int) -> None:
+            for name, _ in stack[k:]:
+                opened[name] -= 1
+            del stack[k:]
+
+        while m := _TAG.search(source, at):
             if m.start() > at:
                 run.append(piece := source[at : m.start()])
                 if anchors:
@@ -149,13 +164,20 @@ class Trees:
             at = m.end()
             end, name, attrs = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
             name = name.lower()
+            if name in _SKIPPED:
+                if not end and name not in unclosed and not (name in ("svg", "math") and attrs.rstrip().endswith("/")):
+                    if last := _SKIPPED[name].search(source, at):
+                        at = last.end()
+                    else:
+                        unclosed.add(name)
+                continue
             if name == "a":
                 anchors = 0 if end else 1
                 continue
             kind = KIND_OF.get(name)
             if kind is None:
                 if "-" not in name:
-                    if name in VOID:
+                    if name == "br":
                         run.append(" ")
                     continue
                 kind = "custom"
@@ -164,25 +186,24 @@ class Trees:
                 continue
             flush()
             if end:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][0] == name:
-                        del stack[k:]
-                        break
+                if opened[name]:
+                    close(max(k for k in range(1, len(stack)) if stack[k][0] == name) if stack[-1][0] != name else len(stack) - 1)
                 continue
             if name in _CLOSES:
                 same, stop = _CLOSES[name]
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k][0] in same:
-                        del stack[k:]
+                        close(k)
                         break
                     if stack[k][0] in stop:
                         break
             elif stack[-1][0] == "p" or len(stack) > 1 and kind == "heading" and KIND_OF.get(stack[-1][0]) == "heading" and name != "hgroup":
-                stack.pop()
+                close(len(stack) - 1)
             if name not in VOID and not attrs.rstrip().endswith("/"):
                 hint, label = _hint(attrs) if attrs else (0, -1)
                 up = self.label[stack[-1][1]]
                 stack.append((name, self._add(page, stack[-1][1], _KIND[kind], hint, label=label if label >= 0 else up)))
+                opened[name] += 1
         if at < len(source):
             run.append(source[at:])
         flush()
