@@ -317,10 +317,8 @@ SCHEMA = "doc_id long, held_out boolean, n_tokens long, n_known long, train_toke
 def scored(docs: DataFrame, depth: int = DEPTH, folds: int = FOLDS, out: int = HELD_OUT, block_docs: int = BLOCK_DOCS) -> DataFrame:
     """Scores of every row of docs (doc_id, text) by a model of the rows outside the fold ``out``; depth is 3 to 6."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    blocks = max(1, -(-docs.count() // block_docs))
+    docs, blocks = T.with_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), block_docs)
     buckets = 4 * blocks
-    docs = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
     asked = written(docs.groupBy("_block").applyInArrow(_count_block(depth, folds, out, buckets, False), _FOUND))
     words = written(docs.groupBy("_block").applyInArrow(_count_block(depth, folds, out, buckets, True), _FOUND).groupBy("_bucket").applyInArrow(_word_totals, "_block int, kind int, h binary, n binary"))
     sums = words.where("_block = -1").select("n").collect()  # two numbers a bucket

@@ -229,10 +229,14 @@ def removed_lines(own: list[int], words: list[int], partners: list[list[int]]) -
 
 
 def _cut(text_at: int, chars_at: int | None, digest: bool, block: str):
-    def one(key, t, pairs):
-        partners: dict[int, list[list[int]]] = {}
-        for d, x in zip(pairs.column("later").to_pylist(), pairs.column("lines").to_pylist(), strict=True):
-            partners.setdefault(d, []).append(np.frombuffer(x, np.uint64).tolist())
+    def one(key, t, sent):
+        partners: dict[int, list[int]] = {}
+        lines: dict[int, list[list[int]]] = {}
+        for d, e, x in zip(sent.column("later").to_pylist(), sent.column("earlier").to_pylist(), sent.column("lines").to_pylist(), strict=True):
+            if x is None:
+                partners.setdefault(d, []).append(e)
+            else:
+                lines.setdefault(e, []).append(np.frombuffer(x, np.uint64).tolist())
         t = t.drop_columns([block])
         ids, texts, n_lines, n_gone = T.ids(t.column("doc_id")), [], [], []
         null = t.column(text_at).is_null().to_pylist()
@@ -242,7 +246,7 @@ def _cut(text_at: int, chars_at: int | None, digest: bool, block: str):
                 a, b = x.first[i], x.first[i + 1]
                 raw = s.text(i)
                 n_lines.append(int(b - a))
-                mine = partners.get(int(ids[s.lo + i]))
+                mine = [x for e in partners.get(int(ids[s.lo + i]), ()) for x in lines[e]]
                 gone = removed_lines(x.hash[a:b].tolist(), x.words[a:b].tolist(), mine) if mine else ()
                 if gone:
                     raw = b"\n".join(v for k, v in enumerate(raw.split(b"\n")) if k not in gone)
@@ -261,20 +265,21 @@ def _cut(text_at: int, chars_at: int | None, digest: bool, block: str):
 
 
 def _run(docs: DataFrame, digest: bool, block_docs: int = BLOCK_DOCS) -> DataFrame:
-    n = max(1, -(-docs.count() // block_docs))
     schema, name = docs.schema, "_block"
     while name in docs.columns:  # a column of the input may have this name
         name += "_"
-    dealt = docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(n)).cast("int"))
+    dealt, n = T.with_blocks(docs, block_docs, name)
     back = dealt.groupBy(name).applyInArrow(_found(2 * n), "_bucket int, _block int, h binary, lo binary, n binary").groupBy("_bucket").applyInArrow(_merged, "_block int, h binary, lo binary")
     pairs = written(dealt.groupBy(name).cogroup(back.groupBy("_block")).applyInArrow(_partners, "_block int, later long, earlier long"))
     wanted = pairs.select("earlier").distinct().withColumn("_block", F.pmod(F.xxhash64("earlier"), F.lit(n)).cast("int"))
     lines = dealt.groupBy(name).cogroup(wanted.groupBy("_block")).applyInArrow(_line_hashes, "earlier long, lines binary")
-    joined = pairs.join(lines, "earlier").select("_block", "later", "lines")
+    # a partner's lines go once to each block that has documents to align with it
+    whole = pairs.select("_block", "earlier").distinct().join(lines, "earlier").select("_block", F.lit(None).cast("long").alias("later"), "earlier", "lines")
+    sent = pairs.select("_block", "later", "earlier", F.lit(None).cast("binary").alias("lines")).unionByName(whole)
     names = [f.name for f in schema]
     chars = names.index("n_chars") if "n_chars" in names else None
     out = "doc_id long, n_lines long, n_removed long, kept_sha256 string" if digest else schema
-    return dealt.groupBy(name).cogroup(joined.groupBy("_block")).applyInArrow(_cut(names.index("text"), chars, digest, name), out)
+    return dealt.groupBy(name).cogroup(sent.groupBy("_block")).applyInArrow(_cut(names.index("text"), chars, digest, name), out)
 
 
 def deduplicated(docs: DataFrame, block_docs: int = BLOCK_DOCS) -> DataFrame:

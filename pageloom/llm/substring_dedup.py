@@ -77,8 +77,11 @@ def _unique(h: list[np.ndarray], doc: list[np.ndarray], block: int, buckets: int
     at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
     lo, hi = (f.reduceat(d, at) if len(at) else d for f in (np.minimum, np.maximum))
     x, several = x[at], lo < hi
-    bucket = ((x >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    own, first = np.unique(bucket, return_index=True)
+    # hashes that were chosen as the smallest of some are mixed again, so that buckets are even
+    bucket = ((T.mix(x) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    order = np.argsort(bucket, kind="stable")
+    x, lo, several = x[order], lo[order], several[order]
+    own, first = np.unique(bucket[order], return_index=True)
     spans = list(zip(first.tolist(), [*first.tolist(), len(x)][1:], strict=True))
     return pa.table({
         "_bucket": pa.array(own.astype(np.int32)), "_block": pa.array(np.full(len(own), block), pa.int32()), "h": pa.array([x[a:b].tobytes() for a, b in spans], pa.binary()),
@@ -180,10 +183,8 @@ class Levels:
     """The levels over some documents (doc_id, text)."""
 
     def __init__(self, docs: DataFrame, block_docs: int = BLOCK_DOCS) -> None:
-        docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        n = max(1, -(-docs.count() // block_docs))
+        self.docs, n = T.with_blocks(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), block_docs)
         self.buckets = 2 * n
-        self.docs = docs.withColumn("_block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int"))
 
     def first(self, size: int) -> DataFrame:
         return _repeated(self.docs.groupBy("_block").applyInArrow(_half_windows(size, self.buckets), _FOUND))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLICE_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 25  # of texts in a block, on average
 NO_ID = np.iinfo(np.int64).max  # stands for a null doc_id: after every other id
 _BASE = 0x9E3779B97F4A7C15 | 1
 _STEP = 0xC2B2AE3D27D4EB4F | 1
@@ -151,7 +152,10 @@ def code_points(s: Slice) -> np.ndarray:
     return np.diff(lead[s.offsets])
 
 
-def with_blocks(docs: DataFrame, per: int, name: str = "_block") -> DataFrame:
-    """Adds a block number made from doc_id: about ``per`` rows have the same one, however many rows there are."""
-    n = max(1, -(-docs.count() // per))
-    return docs.withColumn(name, F.pmod(F.xxhash64(F.col("doc_id")), F.lit(n)).cast("int"))
+def with_blocks(docs: DataFrame, per: int, name: str = "_block") -> tuple[DataFrame, int]:
+    """Adds a block number made from doc_id, and returns how many blocks there are: about ``per`` rows and at most about
+    BLOCK_BYTES of text have the same one, however many there are. Rows without an id are dealt by their text."""
+    rows, size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length("text").cast("long"))).first()
+    n = max(1, -(-rows // per), -(-(size or 0) // BLOCK_BYTES))
+    key = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64(F.col("doc_id").cast("long")))
+    return docs.withColumn(name, F.pmod(key, F.lit(n)).cast("int")), n
