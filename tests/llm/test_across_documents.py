@@ -277,3 +277,83 @@ def test_context_tree(spark):
     assert context_tree.scored(frame(spark, []), depth=3).count() == 0
     alone = context_tree.scored(frame(spark, [(0, "a b")]), depth=3).first()  # in or out of training, it is scored
     assert alone.n_bytes == 4 and alone.score < 0
+
+
+def _common_blocks(x, y):
+    """Blocks of consecutive equal lines by a plain longest-common-subsequence table, nothing of the module's own."""
+    best = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+    for i in range(len(x) - 1, -1, -1):
+        for j in range(len(y) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if x[i] == y[j] else max(best[i + 1][j], best[i][j + 1])
+    i = j = 0
+    blocks, before = [], (-9, -9)
+    while i < len(x) and j < len(y):
+        if x[i] == y[j] and best[i][j] == best[i + 1][j + 1] + 1:
+            if (i, j) != (before[0] + 1, before[1] + 1):
+                blocks.append([])
+            blocks[-1].append(j)
+            before = (i, j)
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return blocks
+
+
+def test_line_dedup_recall_of_all_pairs(spark):
+    """Of the lines that alignment with every earlier document removes, by another diff, at least nine tenths go, and hardly any other."""
+    import random
+
+    r = random.Random(8)
+    pool = [" ".join(r.choices("abcdefghijklmnopqrst", k=r.randint(2, 9))) for _ in range(60)]
+    texts = [[r.choice(pool) if r.random() < 0.5 else f"own {i} {k} {r.random()}" for k in range(r.randint(2, 14))] for i in range(90)]
+    texts += [texts[r.randrange(90)][: r.randint(3, 12)] + ["", *texts[r.randrange(90)]] for _ in range(30)]
+    rows = [(i, "\n".join(t)) for i, t in enumerate(texts)]
+    want = {}
+    for i, t in rows:
+        lines = t.split("\n")
+        gone = {j for k in range(i) for b in _common_blocks(texts[k], lines) if sum(len(words(lines[j])) for j in b) >= line_dedup.BLOCK_WORDS for j in b}
+        want[i] = gone
+    got = {}
+    for x in line_dedup.deduplicated(frame(spark, rows), block_docs=9).collect():
+        got[x.doc_id] = Counter(x.text.split("\n"))
+    caught = total = over = 0
+    for i, t in rows:
+        lines = t.split("\n")
+        kept, must = got.get(i, Counter()), Counter(lines[j] for j in want[i])
+        removed = Counter(lines) - kept
+        total += sum(must.values())
+        caught += sum((removed & must).values())
+        over += sum((removed - must).values())
+    assert total > 100 and caught >= 0.9 * total and over <= 0.1 * total
+
+
+def test_a_copy_goes_whole_though_its_lines_stand_first_elsewhere(spark):
+    a, b = "one two three four five", "six seven eight nine ten"
+    rows = [(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{b}"), (None, f"{a}\n{b}"), (None, b)]
+    got = sorted(((r.doc_id or 99), r.n_removed) for r in line_dedup.removals(frame(spark, rows), block_docs=2).collect())
+    assert got == [(1, 0), (2, 0), (3, 0), (4, 2), (99, 0), (99, 2)]
+
+
+def test_a_region_of_near_copies_is_quick():
+    """8,000 near copies that share 20 regions, some of them too far from each other: connected, each pair compared once."""
+    import time
+
+    import numpy as np
+    import pyarrow as pa
+
+    r = np.random.default_rng(1)
+    base = r.integers(0, 2**64, 200, dtype=np.uint64)
+    sets = []
+    for _ in range(8000):
+        x, k = base.copy(), r.integers(0, 11)
+        x[20 + r.choice(180, k, replace=False)] = r.integers(0, 2**64, k, dtype=np.uint64)
+        sets.append(np.unique(x))
+    sid = np.array([ngram_join._sid(x) for x in sets])
+    members = pa.table({"h": np.repeat(base[:20].view(np.int64), 8000), "sid": np.tile(sid, 20)})
+    sketches = pa.table({"own": sid, "n": [len(x) for x in sets], "sketch": pa.array([ngram_join._sketch(x) for x in sets], pa.binary())})
+    t = time.time()
+    found = ngram_join._forest(85)(members, sketches)
+    assert time.time() - t < 5
+    assert found.num_rows == len(set(sid.tolist())) - 1

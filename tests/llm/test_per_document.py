@@ -2,6 +2,7 @@
 
 import math
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -96,6 +97,80 @@ def test_tiles_and_contamination(spark):
     assert sorted(decontaminate.tiles(a, b)) == [(0, 7, 8), (9, 0, 6)]
 
 
+def _plain_tiling(item, doc, least):
+    """The longest common run of unmarked words, the first in item and document, marked again and again."""
+    free_i, free_d, out = [True] * len(item), [True] * len(doc), []
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(doc)):
+                k = 0
+                while i + k < len(item) and j + k < len(doc) and free_i[i + k] and free_d[j + k] and item[i + k] == doc[j + k]:
+                    k += 1
+                if k > best[2]:
+                    best = (i, j, k)
+        i, j, k = best
+        if k < least:
+            return out
+        out.append(best)
+        for d in range(k):
+            free_i[i + d] = free_d[j + d] = False
+
+
+def test_tiles_equal_plain_greedy_tiling():
+    import random
+
+    r = random.Random(1)
+    for _ in range(1000):
+        letters, least = r.choice((2, 3, 5, 9)), r.choice((1, 2, 3, 5))
+        item, doc = [r.randrange(letters) for _ in range(r.randint(0, 25))], [r.randrange(letters) for _ in range(r.randint(0, 25))]
+        for _ in range(r.randint(0, 4)):
+            i, p = r.randrange(len(item) + 1), r.randrange(len(doc) + 1)
+            doc[p:p] = item[i : i + r.randint(1, 12)]
+        assert decontaminate.tiles(np.array(item, np.uint64), np.array(doc, np.uint64), least) == _plain_tiling(item, doc, least)
+
+
+def test_contamination_equals_brute_force(spark):
+    """Every pair against plain tiling, with seeds that all items share, repeated items, short ones, null ids and a very long text."""
+    import random
+
+    r = random.Random(3)
+    hot = "which of the following is the best answer".split()
+    items = [(i, hot + [f"q{r.randrange(60)}" for _ in range(r.randint(3, 30))]) for i in range(25)]
+    items += [(None, items[3][1]), (4, items[4][1]), (90, "two words".split()), (91, "four words in all".split()), (92, []), (93, [f"w{i}" for i in range(19)])]
+    docs = [(i, [f"q{r.randrange(60)}" for _ in range(r.randint(0, 40))]) for i in range(30)]
+    for i in range(40):
+        w = [f"z{r.randrange(30)}" for _ in range(30)]
+        for _ in range(3):
+            x = r.choice(items)[1]
+            a = r.randrange(len(x) + 1)
+            p = r.randrange(31)
+            w[p:p] = x[a : a + r.randint(3, 25)]
+        docs.append((100 + i, w))
+    docs += [(200, "w0 w1 w2 w3 w4 w5 w6 zz w5 w6 w7 w8 w9 w10 w11 w12 yy w5 w6 w7 w8 w9 w10 w11 w12 end".split()), (None, items[3][1]), (201, ["x"] * 60_000 + items[5][1]), (201, items[6][1]), (202, [])]
+    want = []
+    for i, d in docs:
+        for j, x in items:
+            least = min(decontaminate.MIN_RUN, len(x))
+            tail = d[-100:] if len(d) > 1000 else d
+            n = sum(k for _, _, k in _plain_tiling(x, tail, least)) if x else 0
+            if len(x) < decontaminate.MIN_RUN:
+                n = len(x) * any(d[p : p + len(x)] == x for p in range(len(d))) if x else 0
+            if x and n >= decontaminate.COVERAGE * len(x):
+                want.append((i is None, i or 0, j is None, j or 0, n))
+    bench = spark.createDataFrame([(i, " ".join(x) or None) for i, x in items], "item_id long, text string")
+    rows = [(i, " ".join(d)) for i, d in docs] + [(300, None), (301, "")]
+    got = decontaminate.contaminated(frame(spark, rows), bench).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.item_id is None, r.item_id or 0, r.n_tiled) for r in got) == sorted(want)
+    assert any(w[1] == 200 and w[4] == 13 for w in want)
+    bad = Counter((w[0], w[1]) for w in want)
+    kept = Counter((r.doc_id is None, r.doc_id or 0) for r in decontaminate.filtered(frame(spark, rows), bench).select("doc_id").collect())
+    assert set(kept) == {(i is None, i or 0) for i, _ in rows} - set(bad) | ({(False, 201)} & set(kept))
+    empty = spark.createDataFrame([], "item_id long, text string")
+    assert decontaminate.contaminated(frame(spark, []), bench).count() == 0 and decontaminate.contaminated(frame(spark, rows), empty).count() == 0
+    assert decontaminate.filtered(frame(spark, rows), empty).count() == len(rows)
+
+
 def test_html(spark):
     model = html_text.Model(html_text.labelled_pages())
     page = lambda body: f"<html><head><title>T</title><style>p{{}}</style></head><body>{body}</body></html>"
@@ -187,3 +262,25 @@ def test_toxicity(spark):
     assert got[2].predicted == 1 and got[4].predicted == 1 and got[1].predicted == got[3].predicted == got[5].predicted == 0
     assert got[3].quoted > 0 and got[2].directed > 0 and got[4].fuzzy > 0 and got[None].held_out is None
     assert toxicity.scored(frame(spark, []), spark.createDataFrame([], "doc_id long, text string, label int")).count() == 0
+
+
+def test_broken_pages(spark):
+    """Optional tags, elements that nothing closes, and very deep pages; the text of the Spark path is compared."""
+    text = "Some long sentence with many words that tell a story to the reader."
+    cases = {
+        f"<html><head><title>T</title><p>{text}<p>{text}": f"{text}\n{text}",
+        f"<html><head><title>T</title><div><article><p>{text}</p></article></div>": text,
+        f"<article><p>{text}</p><video src=x><p>{text}</p></article>": f"{text}\n{text}",
+        f"<article><p>{text}</p><!-- x --!><p>{text}</p></article>": f"{text}\n{text}",
+        "<article><p>A super<wbr>market and an<img src=x>other b<!-- c -->ig <svg/>thing to read about.</p></article>": "A supermarket and another big thing to read about.",
+        f"<article><p>{text}</p><video><p>no</p></video><svg><text>no</text></svg><noscript>no</noscript></article>": text,
+        f"<article><p>{text}</p><script>never closed <p>{text}": text,
+        "<div>" * 20_000 + text + "</span></div></p>" * 20_000: text,
+        "<article><p>" + f"{text} " * 20_000 + "</p></article>": (f"{text} " * 20_000).strip(),
+        "   \n": "", "": "",
+    }
+    rows = [(i, "u", h) for i, h in enumerate(cases)] + [(None, None, None), (0, "v", next(iter(cases)))]
+    got = html_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(i, "u", t, len(t)) for i, t in enumerate(cases.values())] + [(None, None, "", 0), (0, "v", f"{text}\n{text}", 2 * len(text) + 1)]
+    assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
+    assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
