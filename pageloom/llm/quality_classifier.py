@@ -67,25 +67,35 @@ def _means(groups, n: int, value: np.ndarray) -> np.ndarray:
     return total
 
 
-def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
-    """The value of each feature and the bias: the difference of the two logits."""
-    y = np.array(labels, np.int64)
-    value = np.zeros(1 << BITS, np.float32)
-    if len(y) == 0 or y.min() == y.max():
-        p = (y.sum() + 1) / (len(y) + 2)
-        return value, float(np.log(p / (1 - p)))
+def shares(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Each row's features, each once, with its share of its group; never more than the table has rows, however long the text."""
     docs = []
-    for s in T.slices(pa.array(texts, pa.string())):
+    for s in T.slices(column):
         groups, n = features(s)
         bounds = [np.searchsorted(row, np.arange(n + 1)) for row, _ in groups]
         for i in range(n):
-            parts = []
-            for (_, idx), at in zip(groups, bounds, strict=True):
-                own = idx[at[i] : at[i + 1]]
+            idx, c = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
+            for (_, group), at in zip(groups, bounds, strict=True):
+                own = group[at[i] : at[i + 1]]
                 if len(own):
-                    u, c = np.unique(own, return_counts=True)
-                    parts.append((u.astype(np.int32), (c / len(own)).astype(np.float32)))
-            docs.append((np.concatenate([u for u, _ in parts]), np.concatenate([c for _, c in parts])) if parts else (np.zeros(0, np.int32), np.zeros(0, np.float32)))
+                    u, k = np.unique(own, return_counts=True)
+                    idx.append(u.astype(np.int32))
+                    c.append((k / len(own)).astype(np.float32))
+            docs.append((np.concatenate(idx), np.concatenate(c)))
+    return docs
+
+
+def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """The value of each feature and the bias: the difference of the two logits."""
+    return fitted(shares(pa.array(texts, pa.string())), labels, seed)
+
+
+def fitted(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:
+    """The same from the documents' shares of features."""
+    y = np.array(labels, np.int64)
+    if len(y) == 0 or y.min() == y.max():
+        p = (y.sum() + 1) / (len(y) + 2)
+        return np.zeros(1 << BITS, np.float32), float(np.log(p / (1 - p)))
     rng = np.random.default_rng(seed)
     emb = ((rng.random((1 << BITS, DIM)) - 0.5) / DIM).astype(np.float32)
     layer, bias = np.zeros((2, DIM), np.float32), np.zeros(2, np.float32)
@@ -113,9 +123,15 @@ def train(texts: list[str | None], labels: list[int], seed: int = 7) -> tuple[np
 
 def scored(docs: DataFrame, sample: DataFrame, parts: int = FOLDS, out: int = HELD_OUT) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs. ``sample`` (text, label) is bounded by its maker."""
-    rows = sample.select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
-    model = docs.sparkSession.sparkContext.broadcast(train([r["text"] for r in rows], [r["label"] for r in rows]))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            idx, c = zip(*((u.tobytes(), v.tobytes()) for u, v in shares(b.column(2))), strict=True) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(idx, pa.binary()), pa.array(c, pa.binary())], ["doc_id", "label", "idx", "c"])
+
+    # texts become counts where they are; only the sample's counts reach the driver
+    rows = sorted(tuple(r) for r in sample.select("doc_id", "label", "text").mapInArrow(counted, "doc_id long, label int, idx binary, c binary").collect())
+    model = docs.sparkSession.sparkContext.broadcast(fitted([(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in rows], [r[1] for r in rows]))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         value, bias = model.value

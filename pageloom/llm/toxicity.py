@@ -31,7 +31,6 @@ from . import tokens as T
 from .shared import table
 
 SAMPLE = 20_000  # labelled documents at most
-MAX_TERMS = 1000  # learned terms at most, those with the highest odds
 MIN_TOXIC, MIN_ODDS = 3, 2.0  # toxic documents with the word; natural logarithm of its odds
 FOLDS, HELD_OUT = 5, 0
 BEFORE, NEAR = 12, 4  # words of the context windows
@@ -271,7 +270,7 @@ def _terms(counts: DataFrame, sizes: dict[tuple[int, int], int], halves: tuple[i
     rows = (
         counts.where(F.col("half").isin(*halves)).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
         .where(F.col("toxic") >= MIN_TOXIC).withColumn("odds", odds).where(F.col("odds") >= MIN_ODDS)
-        .orderBy(F.desc("odds"), "word").limit(MAX_TERMS).collect()
+        .collect()  # words of the bounded sample
     )
     return tuple(sorted(({t.encode(): FIXED_WEIGHT for t in TERMS} | {bytes(r["word"]): min(float(r["odds"]), 8.0) for r in rows}).items()))
 

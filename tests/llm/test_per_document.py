@@ -1,6 +1,7 @@
 """Operators that look at one document at a time."""
 
 import math
+import os
 import zlib
 from collections import Counter
 
@@ -9,9 +10,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from pageloom.llm import decontaminate, html_text, packing, quality_classifier, quality_rules, toxicity
+from pageloom.llm import decontaminate, html_text, packing, quality_classifier, quality_rules, registry, toxicity
 from pageloom.llm import tokens as T
-from tests.llm.cases import corpus, frame, words
+from tests.llm.cases import corpus, frame, vocabulary, words
 
 
 def test_words_and_windows():
@@ -284,3 +285,94 @@ def test_broken_pages(spark):
     want = [(i, "u", t, len(t)) for i, t in enumerate(cases.values())] + [(None, None, "", 0), (0, "v", f"{text}\n{text}", 2 * len(text) + 1)]
     assert sorted(repr(tuple(r)) for r in got) == sorted(map(repr, want))
     assert html_text.extracted(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_quality_scores_equal_brute_force(spark):
+    """Scores from the learned values by plain loops over words, pairs and byte runs; ties, repeated rows and very long texts score alike."""
+    import random
+
+    r = random.Random(2)
+    good, bad = vocabulary(r, 80), [x[::-1] + "q" for x in vocabulary(r, 80)]
+    rows = [(i, " ".join(r.choices(good if i % 2 else bad, k=r.randint(5, 40)))) for i in range(60)]
+    rows += [(70, rows[1][1]), (70, rows[1][1]), (71, None), (72, ""), (73, "one"), (74, "same same same"), (75, " ".join(good) * 200), (None, "é ü ñ"), (76, "ab")]
+    sample = spark.createDataFrame([(i, t, i % 2) for i, t in rows[:50]], "doc_id long, text string, label int")
+    value, bias = quality_classifier.train([t for _, t in rows[:50]], [i % 2 for i in range(50)])
+    shift, mask = 64 - quality_classifier.BITS, (1 << 64) - 1
+
+    def score(text):
+        (s,) = T.slices(pa.array([text or ""]), 1 << 40)
+        h = [int(x) for x in T.word_hashes(s, T.words(s))]
+        pairs = [0x5851F42D4C957F2D if a == b else int(T.window_hashes(np.array([a, b], np.uint64), 2)[0]) for a, b in zip(h, h[1:])]
+        groups, raw = [[x >> shift for x in h + pairs]], (text or "").encode()
+        for k in (3, 4):
+            codes = []
+            for i in range(len(raw) - k + 1):
+                code = k
+                for c in raw[i : i + k]:
+                    code = (code << 8 | c) & mask
+                codes.append((code * T._BASE & mask) >> shift)
+            groups.append(codes)
+        return 1 / (1 + math.exp(-(bias + sum(sum(float(value[x]) for x in g) / len(g) for g in groups if g))))
+
+    got = Counter((x.doc_id, round(x.score, 6), x.predicted) for x in quality_classifier.scored(frame(spark, rows), sample).collect())
+    assert got == Counter((i, round(score(t), 6), int(score(t) >= 0.5)) for i, t in rows)
+
+
+def _edits(a, b):
+    """Edits between two byte strings; a swap of neighbours is one."""
+    d = {(i, -1): i + 1 for i in range(-1, len(a))} | {(-1, j): j + 1 for j in range(-1, len(b))}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            d[i, j] = min(d[i - 1, j] + 1, d[i, j - 1] + 1, d[i - 1, j - 1] + (a[i] != b[j]))
+            if i and j and a[i] == b[j - 1] and a[i - 1] == b[j]:
+                d[i, j] = min(d[i, j], d[i - 2, j - 2] + 1)
+    return d[len(a) - 1, len(b) - 1]
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    """Sums of hits by comparing every word with every term; repeated rows, ties and very long texts among them."""
+    import random
+    import re
+
+    r = random.Random(6)
+    terms = toxicity.TERMS
+    vary = lambda t: r.choice((t, t[1:], t[:2] + "x" + t[2:], t[:1] + t[2:3] + t[1:2] + t[3:], t + "zz"))
+    rows = [(i, " ".join(vary(r.choice(terms)) if r.random() < 0.2 else r.choice(("plain", "you", "said", "words", "tree")) for _ in range(r.randint(0, 30)))) for i in range(40)]
+    rows += [(50, rows[3][1]), (50, rows[3][1]), (51, None), (52, "word " * 30_000 + "idiot"), (53, "he said idiot and moron you"), (None, "scum")]
+    want, known = Counter(), [t.encode() for t in terms]
+
+    def hits(words_):
+        out = dict.fromkeys(("exact", "fuzzy", "quoted", "directed"), 0.0)
+        memo = {}
+        for i, x in enumerate(words_):
+            if x not in memo:
+                b = x.encode()
+                memo[x] = 0 if b in known else 1 if any(abs(len(b) - len(t)) < 2 and len(t) >= 5 and _edits(b, t) <= 1 for t in known) else 9
+            if memo[x] > 1:
+                continue
+            before, after = words_[max(0, i - 12) : i], words_[i + 1 : i + 5]
+            quoted = any(y.encode() in toxicity.REPORTING for y in before[-4:])
+            out["quoted" if quoted else "fuzzy" if memo[x] else "exact"] += toxicity.FIXED_WEIGHT
+            out["directed"] += toxicity.FIXED_WEIGHT * (not quoted and any(y.encode() in toxicity.SECOND for y in before[-4:] + after))
+        return out
+
+    for i, t in rows:
+        w = re.findall(r"\S+", t or "")
+        h, p = hits(w), toxicity.PRIOR
+        plain = h["exact"] + h["fuzzy"] / 2
+        z = p @ [1, math.log1p(h["exact"]), math.log1p(h["fuzzy"]), math.log1p(h["quoted"]), plain / (plain + len(w) / 20 + 1), math.log1p(h["directed"])]
+        want[i, round(1 / (1 + math.exp(-z)), 9)] += 1
+    got = toxicity.scored(frame(spark, rows), spark.createDataFrame([], "doc_id long, text string, label int")).collect()
+    assert Counter((x.doc_id, round(x.score, 9)) for x in got) == want and len({x.predicted for x in got}) == 2
+
+
+@pytest.mark.skipif(not os.path.exists("/root/testdata/sf0.1/labels.parquet"), reason="needs the test tables")
+@pytest.mark.parametrize(("query", "label", "recall"), [("op8_quality_classifier", "quality", 0.97), ("op10_toxicity", "toxic", 0.9)])
+def test_held_out_figures(spark, query, label, recall):
+    """On documents whose labels were never learned from: area under the curve, recall and false alarms."""
+    d = "/root/testdata/sf0.1"
+    labels = {x.doc_id: x[label] for x in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    got = [(x.score, labels[x.doc_id]) for x in registry.QUERIES[query](spark, d).where("held_out").collect() if x.doc_id in labels]
+    ones, zeros = np.array([s for s, y in got if y]), np.array([s for s, y in got if not y])
+    auc = np.mean((ones[:, None] > zeros) + 0.5 * (ones[:, None] == zeros))
+    assert len(ones) > 50 and auc >= 0.95 and (ones >= 0.5).mean() >= recall and (zeros >= 0.5).mean() <= 0.03
