@@ -19,7 +19,7 @@ BOX_TYPES = {
     "Equation": "text", "List": "list", "List-item": "list", "Footer": "page_footer", "Page-Footer": "page_footer", "Page-Header": "page_header", "Header": "page_header", "Page-Number": "page_number", "Footnote": "footnote",
 }
 ROUTES = (  # type, from, below, action, priority
-    ("table", 0.8, 1.01, "table_parser", 10), ("table", 0.0, 0.8, "vlm_crop", 10), ("chart", 0.0, 1.01, "vlm_chart", 10), ("figure", 0.0, 1.01, "vlm_caption", 10), ("text", 0.5, 1.01, "markdown", 5), ("heading", 0.0, 1.01, "markdown", 5),
+    ("table", 0.8, 1.01, "table_reader", 10), ("table", 0.0, 0.8, "vlm_crop", 10), ("chart", 0.0, 1.01, "vlm_chart", 10), ("figure", 0.0, 1.01, "vlm_caption", 10), ("text", 0.5, 1.01, "markdown", 5), ("heading", 0.0, 1.01, "markdown", 5),
     ("clause", 0.0, 1.01, "markdown", 5), ("subclause", 0.0, 1.01, "markdown", 5), ("item", 0.0, 1.01, "markdown", 5), ("footnote", 0.0, 1.01, "markdown", 5), ("caption", 0.0, 1.01, "markdown", 5), ("list", 0.0, 1.01, "markdown", 5),
     ("page_footer", 0.0, 1.01, "noise_filter", 10), ("page_number", 0.0, 1.01, "noise_filter", 10), ("page_header", 0.0, 1.01, "noise_filter", 10), ("text", 0.0, 0.5, "fallback", 5), ("unknown", 0.0, 1.01, "fallback", 0),
 )
@@ -134,7 +134,7 @@ def in_layout_order(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT)
     The choice depends on those before it, so that it runs per page in pandas; a page is small.
     """
     b = blocks.select(*KEYS, "seq", "x0", "y0", "x1", "y1").groupBy(*KEYS)
-    x = boxes.select(*KEYS, "ord", "x0", "y0", "x1", "y1").groupBy(*KEYS)
+    x = boxes.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "ord", "x0", "y0", "x1", "y1").groupBy(*(f"_{k}" for k in KEYS))
     least = cfg.layout_iou
 
     def order(key, left, right):

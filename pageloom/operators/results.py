@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NOISE = ("header", "footer", "page_number", "watermark")
@@ -30,7 +30,7 @@ def metadata(profile: DataFrame, sums: DataFrame, tables: DataFrame, source: Col
     t = tables.groupBy("doc_id").agg(F.count(F.lit(1)).alias("tables_extracted"), F.count_if("needs_review").alias("tables_need_review"))
     j = profile.select("doc_id", "total_pages", "complexity").join(sums, "doc_id").join(t, "doc_id", "left")
     return j.select(
-        "doc_id", source.alias("source"), source_type(F.col("complexity"), F.lit(ocr_allowed)).alias("source_type"), F.col("total_pages").alias("pages"), parsed_at.alias("parsed_at"), F.lit(version).alias("parser_version"), "ocr_used",
+        "doc_id", source.alias("source"), source_type(F.col("complexity"), F.lit(ocr_allowed)).alias("source_type"), F.col("total_pages").alias("pages"), parsed_at.alias("parsed_at"), F.lit(version).alias("engine_version"), "ocr_used",
         F.coalesce("tables_extracted", F.lit(0)).alias("tables_extracted"), F.coalesce("tables_need_review", F.lit(0)).alias("tables_need_review"), "headers", "footers", "page_numbers", "toc_pages",
     )
 
@@ -40,10 +40,12 @@ def in_sections(items: DataFrame, sections: DataFrame) -> DataFrame:
 
     Heights count without their pages, as in one long page.
     """
-    j = items.join(sections.select("doc_id", "ord", F.col("y0").alias("_y")), "doc_id", "left")
-    above = F.when(F.col("_y") <= F.col("y0"), F.struct(F.col("_y").alias("y"), (-F.col("ord")).alias("o")))
-    best = j.groupBy("doc_id", "item").agg(F.max(above).alias("b"), F.max("ord").alias("last"))
-    return items.join(best.select("doc_id", "item", F.coalesce(-F.col("b.o"), F.col("last")).alias("section_ord")), ["doc_id", "item"], "left")
+    nothing = F.lit(None)
+    s = sections.select("doc_id", nothing.cast(items.schema["item"].dataType).alias("item"), F.col("y0").cast("double").alias("y0"), F.lit(0).alias("_kind"), F.col("ord").cast("int").alias("ord"))
+    i = items.select("doc_id", "item", F.col("y0").cast("double").alias("y0"), F.lit(1).alias("_kind"), nothing.cast("int").alias("ord"))
+    down = Window.partitionBy("doc_id").orderBy("y0", "_kind", F.desc("ord")).rowsBetween(Window.unboundedPreceding, 0)
+    both = s.unionByName(i).withColumn("section_ord", F.coalesce(F.last("ord", ignorenulls=True).over(down), F.max("ord").over(Window.partitionBy("doc_id"))))
+    return items.join(both.where("_kind = 1").select("doc_id", "item", "section_ord").distinct(), ["doc_id", "item"], "left")
 
 
 def image_markdown(caption: Column, page: Column, block_id: Column, folder: str | None = None, ext: Column | None = None) -> Column:

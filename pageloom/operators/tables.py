@@ -62,28 +62,40 @@ def genuine(tables: DataFrame, cells: DataFrame) -> DataFrame:
     return f.where(exempt | (F.col("width") * F.col("height") <= 0) | ~F.coalesce(bad, F.lit(False))).select(*tables.columns)
 
 
+def _is_label(sides: Column) -> Column:
+    """Whether a row's cells, stripped, are a short label and a value."""
+    a, b = F.try_element_at(sides, F.lit(1)), F.try_element_at(sides, F.lit(2))
+    n = F.length(a)
+    return F.coalesce((F.size(sides) == 2) & (n >= 2) & (n <= 30) & (F.length(b) > 0) & (a.rlike("[:：]$") | ((n <= 15) & (F.length(b) > n))), F.lit(False))
+
+
+def _is_form(hits: Column) -> Column:
+    return (F.col("cols") == 2) & (F.col("rows") >= 2) & (F.coalesce(hits, F.lit(0)) >= F.col("rows") * 0.6)
+
+
+def _is_frame(full: Column, long_: Column, spread: Column) -> Column:
+    """By the numbers of filled and of long cells, and the spread of their lengths over the mean."""
+    total = F.col("rows") * F.col("cols")
+    wide = (F.col("cols") >= 5) & (F.col("rows") <= 3)
+    return (
+        F.when(full == 0, False).when(wide & (full / F.greatest(total, F.lit(1)) >= 0.5) & (long_ == 0), False).when(wide & ((full < total * 0.5) | (long_ >= 1)), True)
+        .when((F.col("cols") > 4) | (long_ == 0), False).when((F.col("cols") <= 2) & (long_ >= full * 0.3), True)
+        .when((F.col("rows") >= 5) & (spread > 1.0) & (long_ >= 2), True).otherwise(False)
+    )
+
+
 def form_like(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """table_id, is_form: two columns, of whose rows most are a short label and a value."""
     sides = F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: X.strip(x["text"]))
     rows = cells.groupBy("table_id", "row").agg(sides.alias("s"))
-    a, b = F.try_element_at("s", F.lit(1)), F.try_element_at("s", F.lit(2))
-    n = F.length(a)
-    hit = (F.size("s") == 2) & (n >= 2) & (n <= 30) & (F.length(b) > 0) & (a.rlike("[:：]$") | ((n <= 15) & (F.length(b) > n)))
-    got = rows.groupBy("table_id").agg(F.count_if(hit).alias("hits"))
-    return tables.join(got, "table_id", "left").select("table_id", ((F.col("cols") == 2) & (F.col("rows") >= 2) & (F.coalesce("hits", F.lit(0)) >= F.col("rows") * 0.6)).alias("is_form"))
+    got = rows.groupBy("table_id").agg(F.count_if(_is_label(F.col("s"))).alias("hits"))
+    return tables.join(got, "table_id", "left").select("table_id", _is_form(F.col("hits")).alias("is_form"))
 
 
 def layout_like(tables: DataFrame, cells: DataFrame) -> DataFrame:
     """table_id, is_layout: a frame around text rather than a table."""
     f = tables.join(figures(cells), "table_id", "left")
-    full, long_, total = F.coalesce("full", F.lit(0)), F.coalesce("long", F.lit(0)), F.col("rows") * F.col("cols")
-    wide = (F.col("cols") >= 5) & (F.col("rows") <= 3)
-    rule = (
-        F.when(full == 0, False).when(wide & (full / F.greatest(total, F.lit(1)) >= 0.5) & (long_ == 0), False).when(wide & ((full < total * 0.5) | (long_ >= 1)), True)
-        .when((F.col("cols") > 4) | (long_ == 0), False).when((F.col("cols") <= 2) & (long_ >= full * 0.3), True)
-        .when((F.col("rows") >= 5) & (F.col("spread") / F.col("mean") > 1.0) & (long_ >= 2), True).otherwise(False)
-    )
-    return f.select("table_id", rule.alias("is_layout"))
+    return f.select("table_id", _is_frame(F.coalesce("full", F.lit(0)), F.coalesce("long", F.lit(0)), F.col("spread") / F.col("mean")).alias("is_layout"))
 
 
 def grid(tables: DataFrame, cells: DataFrame) -> DataFrame:
@@ -103,33 +115,55 @@ def _joined(rows: Column, sep: str) -> Column:
 
 
 def markdown(tables: DataFrame, cells: DataFrame) -> DataFrame:
-    """table_id, is_junk, markdown: as key and value lines, as paragraphs, as plain text if there is next to nothing in it, or as a table."""
-    # dealt by table once: every grouping below is by table or by table and row
-    cells, tables = cells.repartition("table_id"), tables.repartition("table_id")
-    g = grid(tables, cells)
+    """table_id, is_junk, markdown: as key and value lines, as paragraphs, as plain text if there is next to nothing in it, or as a table.
+
+    A table's cells are collected once, by row and then by table; every rule is an expression over these lists.
+    """
+    cells, tables = cells.repartition("table_id"), tables.repartition("table_id")  # both groupings and the join are by table
+    c = cells.select("table_id", "row", "col", X.clean_cell(F.col("text")).alias("c"), X.strip(F.col("text")).alias("t"))
+    by_row = c.groupBy("table_id", "row").agg(F.array_sort(F.collect_list(F.struct("col", "c", "t"))).alias("cells"))
+    held = by_row.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct("row", "cells"))).alias("r"))
+    j = tables.join(held, "table_id", "left")
+    if "rowspan" in cells.columns:
+        rows = grid(tables, cells).groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "texts"))), lambda x: x["texts"]).alias("g"))
+        j = j.join(rows, "table_id", "left")
+    else:
+        whole = (F.size("r") == F.col("rows")) & (F.element_at("r", -1)["row"] == F.col("rows") - 1) & (F.element_at("r", 1)["row"] == 0)
+        at = lambda i: F.when(whole, F.try_element_at("r", (i + 1).cast("int"))["cells"]).otherwise(F.try_element_at(F.filter("r", lambda x: x["row"] == i), F.lit(1))["cells"])
+        cell = lambda own, k: F.coalesce(F.replace(F.try_element_at(F.filter(own, lambda x: (x["col"] == k) & (x["c"] != "")), F.lit(1))["c"], F.lit("|"), F.lit("\\|")), F.lit(""))
+        line_of = lambda own: F.transform(F.sequence(F.lit(0), F.col("cols") - 1), lambda k: cell(own, k))
+        lines = F.transform(F.transform(F.sequence(F.lit(0), F.col("rows") - 1), at), line_of)
+        j = j.withColumn("g", F.when((F.col("rows") > 0) & (F.col("cols") > 0), lines))
     junk_cell = lambda x: (x == "") | x.rlike(DOTS_ONLY)
-    rows = g.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "texts"))), lambda x: x["texts"]).alias("g"))
     flat = F.flatten("g")
     content = F.aggregate(F.filter(flat, lambda x: ~junk_cell(x)), F.lit(0), lambda a, x: a + F.length(x))
     junk = (F.size(flat) == 0) | ((content <= 50) & (F.size(F.filter(flat, junk_cell)) / F.size(flat) > 0.75))
-    raw = cells.withColumn("text", X.clean_cell(F.col("text"))).groupBy("table_id", "row").agg(F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"]).alias("s"))
-    key = X.strip(F.regexp_replace(F.regexp_replace(F.col("s")[0], ":+$", ""), "：+$", ""))
-    pair = F.when(F.size("s") != 2, _joined(F.col("s"), " ")).when((key != "") & (F.col("s")[1] != ""), F.concat(F.lit("**"), key, F.lit("**: "), F.col("s")[1])).when(key != "", F.concat(F.lit("**"), key, F.lit("**"))).otherwise(F.col("s")[1])
-    text = raw.groupBy("table_id").agg(
-        _joined(F.transform(F.array_sort(F.collect_list(F.struct("row", pair.alias("p")))), lambda x: x["p"]), "\n\n").alias("as_form"),
-        _joined(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("row", "s"))), lambda x: x["s"])), "\n\n").alias("as_text"),
-    )
+    j = j.withColumn("s", F.transform("r", lambda x: F.transform(x["cells"], lambda y: y["c"])))
+
+    def pair(s: Column) -> Column:
+        key = X.strip(F.regexp_replace(F.regexp_replace(s[0], ":+$", ""), "：+$", ""))
+        return F.when(F.size(s) != 2, _joined(s, " ")).when((key != "") & (s[1] != ""), F.concat(F.lit("**"), key, F.lit("**: "), s[1])).when(key != "", F.concat(F.lit("**"), key, F.lit("**"))).otherwise(s[1])
+
+    j = j.withColumn("lens", F.filter(F.transform(F.flatten(F.transform("r", lambda x: F.transform(x["cells"], lambda y: y["t"]))), F.length), lambda n: n > 0))
+    full, long_ = F.greatest(F.size("lens"), F.lit(0)), F.greatest(F.size(F.filter("lens", lambda n: n > 80)), F.lit(0))
+    mean = F.aggregate("lens", F.lit(0.0), lambda a, n: a + n) / F.size("lens")
+    j = j.withColumns({"mean": mean, "hits": F.size(F.filter("r", lambda x: _is_label(F.transform(x["cells"], lambda y: y["t"]))))})
+    spread = F.sqrt(F.aggregate("lens", F.lit(0.0), lambda a, n: a + (n - F.col("mean")) * (n - F.col("mean"))) / F.size("lens")) / F.col("mean")
     line = lambda r: F.concat(F.lit("| "), F.array_join(r, " | "), F.lit(" |"))
     table = F.concat(
         F.array_join(F.concat(F.array(line(F.col("g")[0])), F.array(line(F.array_repeat(F.lit("---"), F.col("cols")))), F.transform(F.slice("g", F.lit(2), F.greatest(F.size("g") - 1, F.lit(0))), line)), "\n"),
         F.when(F.coalesce(F.col("needs_review"), F.lit(False)), REVIEW).otherwise(""),
     )
     plain = _joined(F.transform("g", lambda r: F.array_join(F.filter(r, lambda x: ~junk_cell(x)), " ")), "\n")
-    j = tables.join(rows, "table_id", "left").join(text, "table_id", "left").join(form_like(tables, cells), "table_id").join(layout_like(tables, cells), "table_id")
-    none = F.col("as_text").isNull() | F.col("g").isNull()
+    none = F.col("s").isNull() | F.col("g").isNull()
     spared = F.col("source") == "vlm" if "source" in tables.columns else F.lit(False)
-    j = j.withColumn("is_junk", ~none & junk & ~spared)
-    return j.select("table_id", "is_junk", F.when(none, F.when(F.col("needs_review"), REVIEW_FAILED).otherwise("")).when(F.col("is_form"), F.col("as_form")).when(F.col("is_layout"), F.col("as_text")).when(F.col("is_junk"), plain).otherwise(table).alias("markdown"))
+    j = j.withColumns({"is_junk": ~none & junk & ~spared, "_form": _is_form(F.col("hits")), "_frame": _is_frame(full, long_, spread)})
+    text = (
+        F.when(none, F.when(F.col("needs_review"), REVIEW_FAILED).otherwise("")).when(F.col("_form"), _joined(F.transform("s", pair), "\n\n"))
+        .when(F.col("_frame"), _joined(F.flatten("s"), "\n\n")).when(F.col("is_junk"), plain).otherwise(table)
+    )
+    # a filter on the text can't pass an aggregation, which keeps it from being worked out again below; no shuffle is added
+    return j.select("table_id", "is_junk", text.alias("markdown")).groupBy("table_id").agg(F.first("is_junk").alias("is_junk"), F.first("markdown").alias("markdown"))
 
 
 def content_hash(cells: DataFrame) -> DataFrame:
@@ -211,3 +245,42 @@ def spans(boxes: DataFrame, near: float = 3.0) -> DataFrame:
     j = boxes.join(edges, "table_id")
     one = lambda c: F.greatest(F.lit(1), c).cast("int")
     return j.select("table_id", (at("ys", "y0") - 1).cast("int").alias("row"), (at("xs", "x0") - 1).cast("int").alias("col"), one(at("ys", "y1") - at("ys", "y0")).alias("rowspan"), one(at("xs", "x1") - at("xs", "x0")).alias("colspan"))
+
+
+def from_lines(words: DataFrame, rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Tables (doc_id, page_num, box, rows, cols, strategy) and cells (doc_id, page_num, row, col, text) of pages' ruling lines.
+
+    ``rules``: doc_id, page_num, x0, y0, x1, y1 of straight lines. The upright ones are a page's column edges, the level ones
+    its row edges; a word (doc_id, page_num, text, x0, x1, top, bottom) goes to the cell around its centre.
+    """
+    upright = F.col("x1") - F.col("x0") < F.col("y1") - F.col("y0")
+    edge = lambda c, on: F.array_sort(F.collect_set(F.when(on, F.round(c, 0))))
+    e = rules.groupBy("doc_id", "page_num").agg(edge("x0", upright).alias("xs"), edge("y0", ~upright).alias("ys")).where("size(xs) >= 3 AND size(ys) >= 3")
+    before = lambda es, v: F.size(F.filter(es, lambda x: x <= v)) - 1
+    w = words.join(e, ["doc_id", "page_num"]).withColumns({"col": before("xs", (F.col("x0") + F.col("x1")) / 2), "row": before("ys", (F.col("top") + F.col("bottom")) / 2)})
+    w = w.where((F.col("col") >= 0) & (F.col("col") < F.size("xs") - 1) & (F.col("row") >= 0) & (F.col("row") < F.size("ys") - 1))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("top", "x0", "text"))), lambda x: x["text"]), " ")
+    cells = w.groupBy("doc_id", "page_num", "row", "col").agg(text.alias("text"))
+    least, most = (lambda c: F.element_at(c, 1)), (lambda c: F.element_at(c, -1))
+    found = e.join(cells.select("doc_id", "page_num").distinct(), ["doc_id", "page_num"], "left_semi")
+    tables = found.select("doc_id", "page_num", least("xs").alias("x0"), least("ys").alias("y0"), most("xs").alias("x1"), most("ys").alias("y1"), (F.size("ys") - 1).alias("rows"), (F.size("xs") - 1).alias("cols"), F.lit("lines").alias("strategy"))
+    return tables, cells
+
+
+def in_hints(words: DataFrame, hints: DataFrame) -> DataFrame:
+    """Words whose centre lies in a hinted box (doc_id, page_num, ord, box), with its ord: what is read again box by box."""
+    h = hints.select("doc_id", "page_num", "ord", *(F.col(c).alias(f"h_{c}") for c in ("x0", "y0", "x1", "y1")))
+    x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
+    return words.join(h, ["doc_id", "page_num"]).where(x.between(F.col("h_x0"), F.col("h_x1")) & y.between(F.col("h_y0"), F.col("h_y1"))).drop("h_x0", "h_y0", "h_x1", "h_y1")
+
+
+def low_scored(tables: DataFrame, score: DataFrame, below: float = DEFAULT.table_quality) -> DataFrame:
+    """Tables with their score and whether it calls for another reading; the tables themselves stay as they are."""
+    return tables.join(score, "table_id", "left").withColumn("low", F.coalesce(F.col("score") < below, F.lit(False)))
+
+
+def estimated(spans: DataFrame) -> DataFrame:
+    """doc_id, page_num, n_tables: text blocks (doc_id, page_num, block, line, span) with two lines or more of three spans or more."""
+    lines = spans.groupBy("doc_id", "page_num", "block", "line").agg(F.count(F.lit(1)).alias("n"))
+    blocks = lines.groupBy("doc_id", "page_num", "block").agg(F.count_if(F.col("n") >= 3).alias("wide"))
+    return blocks.groupBy("doc_id", "page_num").agg(F.count_if(F.col("wide") >= 2).alias("n_tables"))

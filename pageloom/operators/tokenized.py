@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..ports import TOKENS, _engine
-from .chunks import chunk_id, packer
+from .chunks import _has_ids, _kind, chunk_id, packer
 
 ENDS = ("EF", "SF")  # tags that end a sentence
 PREFIX = re.compile(r"^(?:제\s*\d+\s*[편장절관조](?:의\s*\d+)?(?:\s*[(（][^)）]*[)）])?|\d+(?:\.\d+)*\.?|[가-하]\.)\s*")
@@ -62,9 +62,11 @@ def sentences(texts: DataFrame, build: Callable | None) -> DataFrame:
 
 def semantic_chunks(blocks: DataFrame, source: Column, build: Callable, max_tokens: int = 500) -> DataFrame:
     """Sentences of a document packed up to a number of tokens, with the pages of the blocks they overlap."""
-    b = blocks.where(X.strip(F.col("text")) != "").select("doc_id", "page_num", "seq", "text")
-    d = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "seq", "text"))).alias("r"))
-    spans = F.aggregate("r", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page_num:int,a:int,b:int>>").alias("s")), lambda acc, x: F.struct((acc["at"] + F.length(x["text"]) + 1).alias("at"), F.concat(acc["s"], F.array(F.struct(x["page_num"].alias("page_num"), acc["at"].alias("a"), (acc["at"] + F.length(x["text"])).alias("b")))).alias("s")))["s"]
+    b = blocks.where(X.strip(F.col("text")) != "").select("doc_id", "page_num", "seq", "text", *_has_ids(blocks))
+    ids = F.col("block_id") if _has_ids(blocks) else F.lit(None).cast("string")
+    b = b.withColumn("block_id", ids)
+    d = b.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "seq", "text", "block_id"))).alias("r"))
+    spans = F.aggregate("r", F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<page_num:int,block_id:string,a:int,b:int>>").alias("s")), lambda acc, x: F.struct((acc["at"] + F.length(x["text"]) + 1).alias("at"), F.concat(acc["s"], F.array(F.struct(x["page_num"].alias("page_num"), x["block_id"].alias("block_id"), acc["at"].alias("a"), (acc["at"] + F.length(x["text"])).alias("b")))).alias("s")))["s"]
     d = d.select("doc_id", F.array_join(F.transform("r", lambda x: x["text"]), "\n").alias("text"), spans.alias("spans"))
     s = sentences(d.select("doc_id", "text"), build)
     g = s.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "sentence", "start", "end"))).alias("r"))
@@ -72,8 +74,9 @@ def semantic_chunks(blocks: DataFrame, source: Column, build: Callable, max_toke
     e = g.select("doc_id", F.explode(F.arrays_zip("r", "k")).alias("z"))
     c = e.groupBy("doc_id", F.col("z.k").alias("chunk")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("z.r.n"), F.col("z.r.sentence")))), lambda x: x["sentence"]), " ").alias("text"), F.min("z.r.start").alias("a"), F.max("z.r.end").alias("b"))
     j = c.join(d.select("doc_id", "spans"), "doc_id").withColumn("_source", source)
-    pages = F.array_sort(F.array_distinct(F.transform(F.filter("spans", lambda x: (x["b"] > F.col("a")) & (x["a"] < F.col("b"))), lambda x: x["page_num"])))
-    return j.select("doc_id", chunk_id(F.col("_source"), F.col("chunk")).alias("chunk_id"), "text", pages.alias("page_numbers"), X.tokens(F.col("text")).alias("token_count"))
+    inside = F.filter("spans", lambda x: (x["b"] > F.col("a")) & (x["a"] < F.col("b")))
+    pages, block_ids = F.array_sort(F.array_distinct(F.transform(inside, lambda x: x["page_num"]))), F.array_compact(F.transform(inside, lambda x: x["block_id"]))
+    return j.select("doc_id", chunk_id(F.col("_source"), F.col("chunk")).alias("chunk_id"), "text", pages.alias("page_numbers"), X.tokens(F.col("text")).alias("token_count"), block_ids.alias("block_ids"), *_kind("semantic"))
 
 
 def split_point(text: str, toks: list[tuple[str, str, int, int]]) -> int:

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import chunks, classify, metrics, noise, pages, render, structure
+from .. import ports
+from ..functions import text as X
+from ..operators import chunks, classify, layout, metrics, noise, overlap, pages, render, results, structure
+from ..operators import tables as T
 from ..sources import adapters
 from .config import DEFAULT, Config
 
 
+KEYS = ["doc_id", "page_num"]
+
+
 class Parsed(NamedTuple):
     blocks: DataFrame  # paragraphs with type, level, ids and parents
     pages: DataFrame  # page types
@@ -22,19 +30,141 @@ class Parsed(NamedTuple):
     tree: DataFrame
     stats: DataFrame
     anomalies: DataFrame
+    tables: DataFrame | None = None  # as they are shown: genuine, once each, continued ones joined
+    cells: DataFrame | None = None
+    images: DataFrame | None = None  # once each, with captions
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Writes df to the checkpoint folder that driver and executors share and goes on from there; on one machine, if none is set, to a temporary one."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not root and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="pageloom-"))
+    return df.checkpoint()
+
+
+def with_recognized(blocks: DataFrame, recognized: DataFrame, kinds: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Blocks of the text layer and of recognition (ports.recognized): the latter alone on scanned pages, on mixed pages with little text where nothing of the layer lies."""
+    k = kinds.select(*KEYS, "page_type", "n_chars", "width", "height")
+    r = recognized.where("text IS NOT NULL").drop("error").join(k, KEYS).withColumns({"seq": F.col("seq") + 1_000_000, "text": X.ocr_corrected(F.col("text"))})
+    layer = blocks.join(k.where("page_type <> 'scanned'").select(*KEYS), KEYS, "left_semi")
+    sparse = r.where((F.col("page_type") == "mixed") & (F.col("n_chars") < cfg.garble_text_trust_chars))
+    found = r.where("page_type = 'scanned'").unionByName(overlap.beside(sparse, layer))
+    return layer.unionByName(found.select(*layer.columns))
+
+
+def in_reading_order(lines: DataFrame, boxes: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
+    """Lines numbered anew in reading order: by layout boxes on pages that have any, else by columns."""
+    cols = layout.in_column_order(lines, layout.columns(lines)).drop("column", "n_columns")
+    if boxes is None:
+        return cols.withColumn("seq", F.col("read_order").cast("int")).drop("read_order")
+    by_box = layout.in_layout_order(lines, boxes, cfg).withColumnRenamed("read_order", "_box_order")
+    has = boxes.select(*KEYS, F.lit(True).alias("_has")).distinct()
+    j = cols.join(by_box, [*KEYS, "seq"]).join(has, KEYS, "left")
+    return j.withColumn("seq", F.when(F.col("_has"), F.col("_box_order")).otherwise(F.col("read_order")).cast("int")).drop("read_order", "_box_order", "_has")
+
+
+def paragraphs_of(lines: DataFrame, fonts: DataFrame, boxes: DataFrame | None = None, recognized: bool = False, cfg: Config = DEFAULT) -> DataFrame:
+    """Paragraphs by page type: digital lines are classified, then merged; others merged, then classified; covers and tables of contents stay as they are."""
+
+    def labelled(b: DataFrame) -> tuple[DataFrame, str | None]:
+        if boxes is None:
+            return b, None
+        return b.join(layout.best_box(b, boxes, cfg).select(*KEYS, "seq", F.col("label").alias("_label")), [*KEYS, "seq"], "left"), "_label"
+
+    plain = lambda b: b.withColumns({"block_type": F.lit("text"), "heading_level": F.lit(0)})
+    b, label = labelled(lines.where("page_type = 'digital'"))
+    digital = structure.merged_lines(classify.classified(b, fonts, label), fonts, cfg)
+    cols = digital.columns
+    b, label = labelled(structure.merged_lines(plain(lines.where("page_type IN ('scanned', 'mixed')")), fonts, cfg).drop("block_type", "heading_level"))
+    other = classify.classified(b, fonts, label)
+    if recognized:
+        titles = boxes if boxes is not None else lines.sparkSession.createDataFrame([], ports.BOXES)
+        other = classify.ocr_headings(other, titles, cfg)
+    marked = plain(lines.where("page_type IN ('cover', 'toc')")).withColumns({"n_lines": F.lit(1).cast("long"), "confidence": F.lit(1.0)})
+    return digital.unionByName(other.select(*cols)).unionByName(marked.select(*cols))
+
+
+def shown_tables(tables: DataFrame, cells: DataFrame, cfg: Config = DEFAULT, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Tables without frames of layout, rows of a table of contents and copies; one that goes on from the page before is part of that one."""
+    t, c = map(cut, T.without_leader_rows(T.genuine(tables, cells), cells))
+    t = overlap.distinct_tables(t, T.content_hash(c))
+    c = c.join(t.select("table_id"), "table_id", "left_semi")
+    joins = T.across_pages(t, c, cfg)
+    c = T.joined_cells(c, joins)
+    size = c.groupBy("table_id").agg((F.max("row") + 1).cast("int").alias("_rows"))
+    return t.join(joins.select("table_id"), "table_id", "left_anti").join(size, "table_id").withColumn("rows", F.col("_rows")).drop("_rows"), c
+
+
+def shown_images(images: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Images (doc_id, page_num, img, box, height, optionally alt_text) once each, with an id and a caption."""
+    i = layout.captions(overlap.distinct_images(images), blocks, cfg)
+    return i if "alt_text" in i.columns else i.withColumn("alt_text", F.lit(None).cast("string"))
+
+
+def assembled(blocks: DataFrame, kinds: DataFrame | None = None, tables: DataFrame | None = None, cells: DataFrame | None = None, images: DataFrame | None = None, codecs: bool = True) -> DataFrame:
+    """doc_id, page_num, markdown: text outside tables, tables and images from top to bottom; covers and tables of contents below a mark."""
+    md, rest = None, blocks
+    if tables is not None:
+        md = tables.select(*KEYS, "y0", "table_id").join(T.markdown(tables, cells).select("table_id", "markdown"), "table_id")
+        rest = layout.outside(rest, tables)
+    if kinds is None:
+        return render.page_markdown(rest, md, codecs, images)
+    own = lambda df, *k: df if df is None else df.join(kinds.where(F.col("page_type").isin(*k)).select(*KEYS), KEYS, "left_semi")
+    usual = ("digital", "mixed", "scanned")
+    out = render.page_markdown(own(rest, *usual), own(md, *usual), codecs, own(images, *usual))
+    return out.unionByName(render.marker_page(own(blocks, "cover"), render.COVER)).unionByName(render.marker_page(own(blocks, "toc"), render.TOC))
+
+
+def with_tables_and_images(tree: DataFrame, sections: DataFrame, tables: DataFrame | None, cells: DataFrame | None, images: DataFrame | None) -> DataFrame:
+    """The tree with tables, forms and figures in the sections (doc_id, ord, y0) that begin last above them."""
+    items = None
+    if tables is not None:
+        forms = T.form_like(tables, cells)
+        md = tables.join(T.markdown(tables, cells).select("table_id", "markdown"), "table_id").join(forms, "table_id")
+        items = md.select("doc_id", F.col("table_id").cast("long").alias("item"), F.when(F.col("is_form"), "form").otherwise("table").alias("node_type"), F.col("markdown").alias("text"), "y0")
+    if images is not None:
+        text = F.coalesce(F.nullif(F.trim("alt_text"), F.lit("")), results.image_markdown(F.col("caption"), F.col("page_num"), F.col("block_id")))
+        figures = images.select("doc_id", (-1 - F.col("page_num").cast("long") * 100_000 - F.col("img")).alias("item"), F.lit("figure").alias("node_type"), text.alias("text"), "y0")
+        items = figures if items is None else items.unionByName(figures)
+    return tree if items is None else render.with_items(tree, results.in_sections(items, sections))
+
 
+def parse_blocks(
+    blocks: DataFrame, page_rows: DataFrame, cfg: Config = DEFAULT, *, tables: DataFrame | None = None, cells: DataFrame | None = None,
+    images: DataFrame | None = None, boxes: DataFrame | None = None, recognized: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+) -> Parsed:
+    """Parses positioned lines (see sources.adapters.lines for their columns) and pages (see sources.adapters.pages), with what else is known of the pages: tables and their cells, images, layout boxes, recognised blocks.
 
-def parse_blocks(blocks: DataFrame, page_rows: DataFrame, cfg: Config = DEFAULT) -> Parsed:
-    """Parses positioned lines (see sources.adapters.lines for their columns) and pages (see sources.adapters.pages)."""
-    marked = noise.classified(blocks, noise.learned(blocks, cfg), cfg)
-    kinds = pages.typed(page_rows, blocks, cfg).select("doc_id", "page_num", "page_type")
-    lines = noise.kept(marked).join(kinds.where("page_type <> 'noise'"), ["doc_id", "page_num"])
+    All of it is lazy. ``cut`` is given what several outputs share (lines, paragraphs, tables); with ``checkpointed`` each is worked out once.
+    """
+    kinds = pages.typed(page_rows, blocks, cfg).select(*KEYS, "page_type", F.length(X.strip(F.col("raw_text"))).alias("n_chars"), "width", "height")
+    source = blocks if recognized is None else with_recognized(blocks, recognized, kinds, cfg)
+    marked = noise.classified(source, noise.learned(blocks, cfg), cfg)
+    if boxes is not None:
+        marked = noise.with_layout(marked, boxes, cfg)
+    lines = noise.kept(marked).join(kinds.where("page_type <> 'noise'").select(*KEYS, "page_type"), KEYS)
     fonts = pages.font_stats(blocks)
-    paragraphs = structure.hierarchy(structure.promoted(structure.merged_lines(classify.classified(lines, fonts), fonts, cfg)))
-    page_md = render.page_markdown(paragraphs)
+    merged = paragraphs_of(cut(in_reading_order(cut(lines), boxes, cfg)), fonts, boxes, recognized is not None, cfg)
+    paragraphs = cut(structure.hierarchy(structure.promoted(merged)))
+    if tables is not None:
+        tables, cells = map(cut, shown_tables(tables, cells, cfg, cut))
+    if images is not None:
+        images = shown_images(images, paragraphs, cfg)
+    page_md = assembled(paragraphs, kinds, tables, cells, images)
     markdown = render.post_processed(page_md)
+    tree = render.tree(paragraphs)
+    if tables is not None or images is not None:
+        ord_ = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_num", "seq"))
+        # sections and their heights, numbered as render.tree numbers them
+        shown = paragraphs.where(~F.col("block_type").isin(*render.SKIPPED, "footnote") & (X.strip(F.col("text")) != "")).withColumn("ord", ord_)
+        sections = shown.select("doc_id", "ord", "y0").join(tree.where("node_type = 'section'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
+        tree = with_tables_and_images(tree, sections, tables, cells, images)
     stats = metrics.parse_stats(paragraphs, markdown)
-    return Parsed(paragraphs, kinds, metrics.page_confidence(paragraphs, kinds), noise.stats(marked), page_md, markdown, render.tree(paragraphs), stats, metrics.anomalies(stats))
+    return Parsed(paragraphs, kinds.select(*KEYS, "page_type"), metrics.page_confidence(paragraphs, kinds), noise.stats(marked), page_md, markdown, tree, stats, metrics.anomalies(stats), tables, cells, images)
 
 
 def parse_documents(documents: DataFrame, cfg: Config = DEFAULT) -> Parsed:

@@ -33,7 +33,7 @@ def _source():
 
 def _flat(chunks):
     """Lists as text, so that engines can be compared."""
-    out = chunks.withColumn("page_numbers", F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), ","))
+    out = chunks.drop("block_ids", "chunk_type", "metadata").withColumn("page_numbers", F.array_join(F.transform("page_numbers", lambda x: x.cast("string")), ","))
     return out.withColumn("heading_path", F.array_join("heading_path", " > ")) if "heading_path" in chunks.columns else out
 
 
@@ -81,12 +81,6 @@ def conversation_chunks(spark, sf_dir):
     return C.by_page(b, _source()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum("token_count").alias("tokens"))
 
 
-@query()
-def chunk_jsonl(spark, sf_dir):
-    """JSON text differs between engines in white space; tests compare the parsed objects."""
-    return C.as_json(C.by_page(blocks(spark, sf_dir), _source()))
-
-
 _REP = f"(regexp_replace({S.strip('text')}, '  +', ' ', 'g'))"
 _MD = f"""md0 AS (SELECT doc_id, page_num, y0, seq, CASE WHEN block_type = 'heading' AND heading_level > 0 THEN chr(10) || repeat('#', least(heading_level, 6)) || ' ' || {_REP} || chr(10) ELSE {_REP} END AS md FROM mg WHERE text <> ''),
 md AS (SELECT doc_id, page_num, string_agg(md, chr(10) ORDER BY y0, seq) AS markdown FROM md0 GROUP BY ALL)"""
@@ -112,14 +106,14 @@ def document_markdown(spark, sf_dir):
     return render.post_processed(_page_markdown(spark, sf_dir))
 
 
-@query(S.with_ctes("""SELECT doc_id, concat_ws(chr(10), '---', 'source: "doc' || doc_id || '"', 'source_type: "digital_pdf"', 'pages: ' || n_pages, 'parsed_at: "2024-01-01T00:00:00+09:00"', 'parser_version: "1"', 'ocr_used: false', 'tables_extracted: 0', 'tables_need_review: 0', 'noise_removed:', '  headers: ' || h, '  footers: ' || f, '  page_numbers: ' || p, '  toc_pages: 0', '---') AS front_matter
+@query(S.with_ctes("""SELECT doc_id, concat_ws(chr(10), '---', 'source: "doc' || doc_id || '"', 'source_type: "digital_pdf"', 'pages: ' || n_pages, 'parsed_at: "2024-01-01T00:00:00+09:00"', 'engine_version: "1"', 'ocr_used: false', 'tables_extracted: 0', 'tables_need_review: 0', 'noise_removed:', '  headers: ' || h, '  footers: ' || f, '  page_numbers: ' || p, '  toc_pages: 0', '---') AS front_matter
   FROM (SELECT doc_id, count(*) FILTER (noise = 'header') AS h, count(*) FILTER (noise = 'footer') AS f, count(*) FILTER (noise = 'page_number') AS p FROM nc GROUP BY doc_id) JOIN np USING (doc_id)"""))
 def front_matter(spark, sf_dir):
     from ..operators import noise
 
     b = blocks(spark, sf_dir)
     st = noise.stats(noise.classified(b, noise.learned(b)))
-    m = st.join(b.groupBy("doc_id").agg(F.count_distinct("page_num").alias("pages")), "doc_id").select("doc_id", _source().alias("source"), F.lit("digital_pdf").alias("source_type"), "pages", F.lit("2024-01-01T00:00:00+09:00").alias("parsed_at"), F.lit("1").alias("parser_version"), F.lit(False).alias("ocr_used"), F.lit(0).alias("tables_extracted"), F.lit(0).alias("tables_need_review"), F.col("n_header").alias("headers"), F.col("n_footer").alias("footers"), F.col("n_page_number").alias("page_numbers"), F.lit(0).alias("toc_pages"))
+    m = st.join(b.groupBy("doc_id").agg(F.count_distinct("page_num").alias("pages")), "doc_id").select("doc_id", _source().alias("source"), F.lit("digital_pdf").alias("source_type"), "pages", F.lit("2024-01-01T00:00:00+09:00").alias("parsed_at"), F.lit("1").alias("engine_version"), F.lit(False).alias("ocr_used"), F.lit(0).alias("tables_extracted"), F.lit(0).alias("tables_need_review"), F.col("n_header").alias("headers"), F.col("n_footer").alias("footers"), F.col("n_page_number").alias("page_numbers"), F.lit(0).alias("toc_pages"))
     return render.front_matter(m)
 
 
@@ -219,6 +213,9 @@ def stream_task_state(spark, sf_dir):
     if not root:
         import tempfile
 
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+
         root = "file://" + tempfile.mkdtemp(prefix="pageloom-")
     at = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
     reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
@@ -264,8 +261,3 @@ def job_dedup(spark, sf_dir):
 def ttl_expired(spark, sf_dir):
     last = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     return jobs.expired(_jobs(spark, sf_dir), F.lit(last), 7 * 24 * 3600).select("job_id")
-
-
-@query("SELECT doc_id, length(text) AS char_count, length(text) - length(replace(text, chr(10), '')) + 1 AS line_count FROM documents")
-def text_passthrough(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("char_count"), (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("line_count"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import quality as Q
-from ..operators import attempts, classify, noise, overlap, pages, results, structure
+from ..operators import attempts, noise, overlap, pages, results, structure
 from ..operators import layout as L
 from ..sources import adapters as A
 from ..sources import readers
@@ -39,16 +39,6 @@ def promote_numbered(spark, sf_dir):
     return structure.promoted(b).select("doc_id", "page_num", "seq", "block_type", "heading_level")
 
 
-LEGAL = (("제1편 총칙", "heading", 1), ("제2장 보험", "heading", 2), ("제3절 금액", "heading", 3), ("제3조(목적) 이 약관", "heading", 4), ("① 회사는", "clause", 0), ("가) 항목", "item", 0), ("2.1 제목", "heading", 4), ("1. 보험금", "subclause", 0), ("나. 보험", "subclause", 0), ("그냥 글", "text", 0))
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{t}', '{k}', {v})" for t, k, v in LEGAL) + ") v(text, block_type, heading_level)")
-def profile_legal(spark, sf_dir):
-    """The test tables hold no Korean; these lines and their types are given."""
-    d = spark.createDataFrame([(t,) for t, _, _ in LEGAL], "text string")
-    return d.withColumn("k", classify.korean_legal(F.col("text"), F.lit(10.0), F.lit(False), F.lit(10.0))).select("text", "k.block_type", "k.heading_level")
-
-
 KOREAN = (("plain text", 0.0), ("ㅂㅎ ㄱㅡㅁ", 0.7), ("가1나", 0.225))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -86,12 +88,6 @@ def junk_tables(spark, sf_dir):
     return T.markdown(*_tables(spark, sf_dir)).select("table_id", "is_junk")
 
 
-@query(f"WITH {_CELLS} SELECT table_id, false AS is_layout FROM tb")
-def layout_tables(spark, sf_dir):
-    """No order's table is a frame: its cells are short and its columns four."""
-    return T.layout_like(*_tables(spark, sf_dir))
-
-
 @query(f"""WITH {_CELLS}, h AS (SELECT table_id, md5(coalesce(string_agg(text, '|' ORDER BY text COLLATE "C") FILTER (text <> ''), '')) AS content_hash FROM ce GROUP BY table_id) SELECT table_id, content_hash FROM h JOIN tb USING (table_id) QUALIFY row_number() OVER (PARTITION BY doc_id, page_num, content_hash ORDER BY table_id) = 1""".replace(' COLLATE "C"', ""))
 def table_dedup(spark, sf_dir):
     return T.first_of_content(*_tables(spark, sf_dir)).select("table_id", "content_hash")
@@ -103,7 +99,7 @@ tr AS (SELECT *, sum(nw) OVER (PARTITION BY doc_id ORDER BY page_num) AS run FRO
 tk AS (SELECT *, row_number() OVER (PARTITION BY doc_id, run ORDER BY page_num) AS k FROM tr)"""
 
 
-@query(f"""WITH {_CELLS}, {_JOIN}, m AS (SELECT nx AS table_id, into_, ar - 1 AS off FROM tk WHERE fits AND k % 2 = 1) SELECT coalesce(into_, ce.table_id) AS table_id, ("row" + coalesce(off, 0))::INTEGER AS "row", col, text FROM ce LEFT JOIN m USING (table_id) WHERE off IS NULL OR "row" >= 1""")
+@query(re.sub(r"\b(\w+) AS \(SELECT", r"\1 AS MATERIALIZED (SELECT", f"""WITH {_CELLS}, {_JOIN}, m AS (SELECT nx AS table_id, into_, ar - 1 AS off FROM tk WHERE fits AND k % 2 = 1) SELECT coalesce(into_, ce.table_id) AS table_id, ("row" + coalesce(off, 0))::INTEGER AS "row", col, text FROM ce LEFT JOIN m USING (table_id) WHERE off IS NULL OR "row" >= 1"""))
 def cross_page_tables(spark, sf_dir):
     """Every order's table has the same header row, which goes where a table continues."""
     t, c = _tables(spark, sf_dir)

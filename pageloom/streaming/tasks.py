@@ -42,14 +42,42 @@ def state(events: DataFrame, total: int = 100) -> DataFrame:
 
 
 def streamed_state(events: DataFrame, path: str, checkpoint: str, total: int = 100) -> DataFrame:
-    """Runs the fold over a stream of events to its present end; each batch overwrites the state table at path."""
+    """Runs the fold over a stream of events to its present end.
+
+    A batch writes the tasks it changes, and only those, to a folder with its number, so that writing it again after a
+    failure changes nothing; a task's state is the one of its latest batch.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    query = state(events, total).writeStream.outputMode("complete").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query = state(events, total).writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return events.sparkSession.read.parquet(path)
+    return latest_state(events.sparkSession.read.parquet(path))
+
+
+def latest_state(parts: DataFrame) -> DataFrame:
+    """One row a task, of rows with the number of their batch."""
+    cols = [c for c in parts.columns if c not in ("task_id", "batch")]
+    return parts.groupBy("task_id").agg(F.max_by(F.struct(*cols), "batch").alias("s")).select("task_id", "s.*")
+
+
+def snapshot(parts: DataFrame, task_id) -> DataFrame:
+    """The latest state of one task: what a client that comes back is sent first."""
+    return latest_state(parts.where(F.col("task_id") == task_id))
+
+
+def sessions(events: DataFrame, idle: str = "10 minutes", beat_seconds: int = 30) -> DataFrame:
+    """task_id, start, end, n_events, n_beats: a task's events up to a pause of ``idle``, and how many heartbeats fill its silence. Batch or stream (with a watermark)."""
+    s = events.groupBy("task_id", F.session_window("ts", idle).alias("w")).agg(F.count(F.lit(1)).alias("n_events"), F.max("ts").alias("last"))
+    beats = F.floor((F.unix_timestamp("w.end") - F.unix_timestamp("last")) / beat_seconds)
+    return s.select("task_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n_events", beats.cast("long").alias("n_beats"))
+
+
+def history(states: DataFrame, jobs: DataFrame) -> DataFrame:
+    """What a list of finished and running tasks shows: job, status, percent, results, times; the newest first."""
+    j = jobs.select(F.col("job_id").alias("task_id"), "mime", "created_at", "updated_at").join(states.select("task_id", "status", "pct", "n_results", "last_event"), "task_id", "left")
+    return j.withColumn("status", F.coalesce("status", F.lit("queued"))).orderBy(F.desc("created_at"), F.desc("task_id"))
 
 
 def transitions(states: DataFrame) -> DataFrame:

@@ -144,7 +144,7 @@ def test_captions_and_routes(spark):
     assert layout.captions(img, near).first().caption == "그림 1: 흐름도"
     assert layout.captions(img, spark.createDataFrame([block(1, "other", y0=500.0)], BLOCK)).first().caption is None
     rows = spark.createDataFrame([("table", 0.9), ("table", 0.5), ("text", 0.4), ("text", 1.0), ("chart", 0.1), ("strange", 1.0)], "block_type string, confidence double")
-    assert [r.action for r in layout.routed(rows).collect()] == ["table_parser", "vlm_crop", "fallback", "markdown", "vlm_chart", "fallback"]
+    assert [r.action for r in layout.routed(rows).collect()] == ["table_reader", "vlm_crop", "fallback", "markdown", "vlm_chart", "fallback"]
 
 
 def test_layout_order_is_greedy(spark):

@@ -111,3 +111,160 @@ def test_pdf_lines(spark):
     assert pdf.looks_like_pdf(b"%PDF" + b"0" * 1000) and not pdf.looks_like_pdf(b"%PDF")
     spark.dataSource.register(pdf.PdfLines)
     assert "text" in spark.read.format("pdf_lines").load("/nowhere.pdf").columns
+
+
+def test_chunks_fold_small_groups(spark):
+    """Against the rule in plain Python: a small group joins the one before if one path begins with the other."""
+    import random
+
+    from pageloom.operators import chunks
+
+    r = random.Random(4)
+    rows, want = [], []
+    for d in range(12):
+        kinds = [("heading", r.randint(1, 3)) if r.random() < 0.4 else ("text", 0) for _ in range(r.randint(1, 14))]
+        texts = [f"w{r.randint(0, 9)}" * r.randint(1, 12) for _ in kinds]
+        rows += [(d, 1, i, t, k, v, f"id{d}.{i}") for i, (t, (k, v)) in enumerate(zip(texts, kinds))]
+        path, groups = [], []
+        for t, (k, v) in zip(texts, kinds):
+            if k == "heading":
+                path = [p for p in path if p[0] < v] + [(v, t)]
+            here = tuple(p[1] for p in path)
+            if groups and groups[-1][0] == here:
+                groups[-1][1].append(t)
+            else:
+                groups.append((here, [t]))
+        merged = []
+        for p, ts in groups:
+            n = min(len(p), len(merged[-1][0])) if merged else 0
+            if merged and max(1, len(" ".join(ts)) // 2) < 8 and p[:n] == merged[-1][0][:n]:
+                merged[-1] = (p[:n], merged[-1][1] + ts)
+            else:
+                merged.append((p, ts))
+        at = 0
+        for n, (p, ts) in enumerate(merged):
+            want.append((f"{d}-{n:04d}", (" > ".join(p) + "\n\n" if p else "") + "\n".join(ts), [f"id{d}.{at + i}" for i in range(len(ts))], list(p)))
+            at += len(ts)
+    df = spark.createDataFrame(rows, "doc_id long, page_num int, seq int, text string, block_type string, heading_level int, block_id string")
+    got = chunks.chunked(df, F.col("doc_id").cast("string"), "by_title", combine_under_n=8, max_tokens=10_000).collect()
+    assert sorted((x.chunk_id, x.text, x.block_ids, x.heading_path) for x in got) == sorted(want)
+    assert {x.chunk_type for x in got} == {"by_title"} and all(x.metadata == {} for x in got)
+
+
+def test_semantic_dispatch(spark):
+    from pageloom.operators import chunks
+
+    b = spark.createDataFrame([(1, 1, 0, "One two. Three", "a"), (1, 2, 0, "four. Five six.", "b")], "doc_id long, page_num int, seq int, text string, block_id string")
+    got = chunks.chunked(b, F.lit("s"), "semantic", max_tokens=500, tokenizer=_words).collect()
+    assert [(x.text, x.page_numbers, x.block_ids, x.chunk_type) for x in got] == [("One two. Three\nfour. Five six.", [1, 2], ["a", "b"], "semantic")]
+    assert [x.chunk_type for x in chunks.chunked(b, F.lit("s"), "semantic").collect()] == ["fixed"]
+
+
+def test_second_readings(spark):
+    from pageloom import ports
+    from pageloom.operators import attempts
+
+    schema = "doc_id long, page_num int, seq int, text string, confidence double"
+    blocks = spark.createDataFrame([(1, 1, 0, "good", 0.9), (1, 1, 1, "bda", 0.2), (1, 1, 2, "wrose", None)], schema)
+    crops = spark.createDataFrame([(1, 1, 1, b"1"), (1, 1, 2, b"")], "doc_id long, page_num int, seq int, data binary")
+    read = lambda: lambda image, hint: {b"1": " bad ", b"t": "| a | b |\n| --- | --- |\n| 1 | 2 |", b"": None}[bytes(image)]
+    got = {x.seq: (x.text, x.confidence, x.part) for x in attempts.reread(blocks, crops, read).collect()}
+    assert got == {0: ("good", 0.9, 0), 1: ("bad", 0.85, 1), 2: ("wrose", None, 1)}
+    t = spark.createDataFrame([(1, 5, 5), (2, 2, 2), (3, 3, 3)], "table_id long, rows int, cols int")
+    c = spark.createDataFrame([(1, 0, 0, "x"), (2, 0, 0, "y"), (3, 0, 0, "z")], "table_id long, row int, col int, text string")
+    score = spark.createDataFrame([(1, 0.1), (2, 0.9), (3, 0.2)], "table_id long, score double")
+    images = spark.createDataFrame([(1, b"t"), (3, b"")], "table_id long, data binary")
+    t2, c2, record = attempts.reread_tables(t, c, score, images, read)
+    assert sorted(tuple(x) for x in t2.collect()) == [(1, 2, 2), (2, 2, 2), (3, 3, 3)]
+    assert sorted(tuple(x) for x in c2.collect()) == [(1, 0, 0, "a"), (1, 0, 1, "b"), (1, 1, 0, "1"), (1, 1, 1, "2"), (2, 0, 0, "y"), (3, 0, 0, "z")]
+    assert sorted((x.table_id, x.replaced) for x in record.collect()) == [(1, True), (3, False)]
+    pages = spark.createDataFrame([(1, 1, 0.2, "a"), (1, 2, 0.9, "a"), (1, 3, 0.1, "a")], "doc_id long, page_num int, overall double, how string")
+    better = {"ocr": {1: 0.7, 3: 0.3}, "all": {3: 0.2}}
+    seen = []
+
+    def run(keys, hint):
+        rows = [(d, p, better[hint["how"]][p], hint["how"]) for d, p in keys.collect()]
+        seen.append((hint["how"], sorted(x[1] for x in rows)))
+        return spark.createDataFrame(rows, pages.schema)
+
+    got = sorted((x.page_num, x.overall, x.how) for x in attempts.retried(pages, ({"how": "ocr"}, {"how": "all"}), run).collect())
+    assert got == [(1, 0.7, "ocr"), (2, 0.9, "a"), (3, 0.3, "ocr")] and seen == [("ocr", [1, 3]), ("all", [3])]
+
+    image = spark.createDataFrame([(1, 1, b"x"), (1, 2, b"y")], "doc_id long, page_num int, image binary")
+    table = lambda: lambda image: [((0.0, 1.0, 2.0, 3.0), 0.9, [["a", "b"]])] if image == b"x" else 1 / 0
+    got = ports.read_tables(image, table).orderBy("page_num", "col").collect()
+    assert [(x.page_num, x.row, x.col, x.text) for x in got[:2]] == [(1, 0, 0, "a"), (1, 0, 1, "b")] and "division" in got[2].error
+    texts = spark.createDataFrame([(1, 1, b"x", [(0, "a"), (1, "b")])], "doc_id long, page_num int, image binary, texts array<struct<seq:int,text:string>>")
+    assert [x.text for x in ports.corrected(texts, lambda: lambda i, t: [x.upper() for x in t]).orderBy("seq").collect()] == ["A", "B"]
+    assert [x.text for x in ports.corrected(texts, lambda: lambda i, t: ["one"]).orderBy("seq").collect()] == ["a", "b"]
+    assert ports.first_available(lambda: 1 / 0, lambda: "second")() == "second"
+    with pytest.raises(ZeroDivisionError):
+        ports.first_available(lambda: 1 / 0, lambda: "second", fail_fast=True)()
+
+
+def test_image_text_and_items(spark):
+    from pageloom.operators import render
+
+    d = spark.createDataFrame([("Short title", 10.0, 100.0), ("A sentence.", 10.0, 100.0), ("Short title", 50.0, 100.0), ("Short title", 50.0, None), ("x" * 61, 0.0, 100.0)], "t string, y double, h double")
+    assert [x.k for x in d.select(render.image_text_kind(F.col("t"), F.col("y"), F.col("h")).alias("k")).collect()] == ["heading", "body", "body", "heading", "body"]
+    nodes = spark.createDataFrame([(1, 1, "a", None, "section", 1, "A"), (1, 2, "b", 1, "paragraph", None, "text"), (1, 3, "c", 1, "section", 2, "B"), (1, 4, "d", 3, "paragraph", None, "more"), (1, 5, "e", None, "section", 1, "C")], "doc_id long, ord int, node_id string, parent_ord int, node_type string, level int, text string")
+    items = spark.createDataFrame([(1, 7, "table", 1, "| t |"), (1, 8, "figure", 3, "![f]()"), (1, 9, "form", 5, "**k**: v")], "doc_id long, item long, node_type string, section_ord int, text string")
+    got = render.with_items(nodes, items)
+    assert [x.text for x in got.orderBy("place").collect()] == ["A", "text", "B", "more", "![f]()", "| t |", "C", "**k**: v"]
+    assert render.tree_markdown(got).first().markdown == "# A\n\ntext\n\n## B\n\nmore\n\n![f]()\n\n\n| t |\n\n\n# C\n\n\n**k**: v"
+
+
+def test_workers(spark, tmp_path):
+    from pageloom.streaming import jobs, tasks, workers
+
+    for n in range(5):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / "in" / f"f{n}.txt").write_text("x" * (n + 1))
+    parse = lambda found: found.select("path", F.length("content").alias("n"))
+    args = (spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "progress"), parse)
+    workers.intake(*args, per_batch=2).awaitTermination()
+    (tmp_path / "in" / "g.txt").write_text("y" * 9)
+    q = workers.intake(*args, per_batch=2)
+    q.awaitTermination()
+    assert sorted(x.n for x in workers.collected(spark, str(tmp_path / "out"), "path string, n int").collect()) == [1, 2, 3, 4, 5, 9]
+    assert workers.progress(q)["error"] is None and not workers.progress(q)["active"]
+    assert workers.in_group(spark, "g", lambda: spark.range(3).count()) == 3
+    now, up = [0.0], [False]
+    b = workers.Breaker(lambda: up[0], clock=lambda: now[0])
+    seen = []
+    for t, u in ((0, True), (1, False), (6, False), (12, False), (18, False), (19, True), (49, True), (50, True)):
+        now[0], up[0] = float(t), u
+        seen.append(b.available())
+    assert seen == [True, True, False, False, False, False, True, True]
+    rows = [("a", "queued", 2), ("b", "queued", 1), ("c", "done", 0)]
+    j = spark.createDataFrame(rows, "job_id string, status string, t int").selectExpr("job_id", "status", "'m' AS mime", "job_id AS content_hash", "0 AS attempts", "timestamp_seconds(t) AS created_at", "timestamp_seconds(t) AS updated_at")
+    assert {x.job_id: x.status for x in jobs.claimed(j, F.current_timestamp()).collect()} == {"a": "queued", "b": "processing", "c": "done"}
+    assert [x.job_id for x in jobs.listed(j, active=True).collect()] == ["a", "b"]
+    new = j.where("job_id = 'a'").withColumn("job_id", F.lit("z")).withColumn("status", F.lit("pending")).unionByName(j.where("job_id = 'b'"))
+    assert {x.job_id: x.status for x in jobs.inserted(j, new).collect()}["z"] == "queued" and jobs.inserted(j, new).count() == 4
+    change = spark.createDataFrame([("a", "failed", 3)], "job_id string, status string, attempts int")
+    got = {x.job_id: (x.status, x.attempts) for x in jobs.updated(j, change).collect()}
+    assert got["a"] == ("failed", 3) and got["b"] == ("queued", 0) and jobs.deleted(j, change).count() == 2
+    parts = spark.createDataFrame([("t", 0, "running", 10, 1, "x"), ("t", 2, "done", 100, 3, "done"), ("u", 1, "running", 5, 0, "y")], "task_id string, batch int, status string, pct int, n_results long, last_event string")
+    assert {x.task_id: x.pct for x in tasks.latest_state(parts).collect()} == {"t": 100, "u": 5} and tasks.snapshot(parts, "u").first().pct == 5
+    assert [x.status for x in tasks.history(tasks.latest_state(parts), j.withColumn("job_id", F.lit("t"))).collect()] == ["done"] * 3
+
+
+def test_whole_plan(spark):
+    """A page with a heading, text, a table over some of it, an image, layout boxes and a recognised page."""
+    from pageloom.plans import parse
+
+    rows = [(1, 1, i, t, 50.0, y, 500.0, y + 12, s, b, 1.0, 600.0, 800.0) for i, (t, y, s, b) in enumerate((("1. A heading here", 100.0, 16.0, True), ("Text of a paragraph that ends with a stop.", 200.0, 10.0, False), ("words inside the table", 310.0, 10.0, False), ("Another paragraph after the table, which is long enough for a page.", 500.0, 10.0, False)))]
+    b = spark.createDataFrame(rows, "doc_id long, page_num int, seq int, text string, x0 double, y0 double, x1 double, y1 double, size double, is_bold boolean, confidence double, width double, height double")
+    scanned = [(1, 2, "", 600.0, 800.0, 0.9, True, 1)]
+    text = "\n".join(x[3] for x in rows)
+    p = spark.createDataFrame([(1, 1, text, 600.0, 800.0, 0.0, True, 1), *scanned], "doc_id long, page_num int, raw_text string, width double, height double, image_ratio double, has_images boolean, image_count int")
+    t = spark.createDataFrame([(7, 1, 1, 2, 2, 50.0, 300.0, 500.0, 400.0, 800.0, 600.0, False)], "table_id long, doc_id long, page_num int, rows int, cols int, x0 double, y0 double, x1 double, y1 double, height double, width double, needs_review boolean")
+    c = spark.createDataFrame([(7, 0, 0, "first key"), (7, 0, 1, "second key"), (7, 1, 0, "value 1"), (7, 1, 1, "v 2")], "table_id long, row int, col int, text string")
+    i = spark.createDataFrame([(1, 1, 1, 50.0, 600.0, 300.0, 700.0, 800.0)], "doc_id long, page_num int, img long, x0 double, y0 double, x1 double, y1 double, height double")
+    out = parse.parse_blocks(b, p, tables=t, cells=c, images=i, cut=parse.checkpointed)
+    md = out.page_markdown.where("page_num = 1").first().markdown
+    at = [md.index(x) for x in ("A heading here", "Text of a paragraph", "| first key | second key |", "Another paragraph", "placeholder://image/")]
+    assert at == sorted(at) and "inside the table" not in md
+    kinds = [x.node_type for x in out.tree.collect()]
+    assert kinds.count("table") == 1 and kinds.count("figure") == 1 and kinds.count("section") >= 1
