@@ -436,9 +436,22 @@ def clustered(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> Data
 
 
 def survivors(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that are not the first of their component; rows without an id stay."""
-    gone = clustered(docs, k, percent).where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs without those that are not the first of their component, by doc_id and then by row.
+
+    Rows are numbered, so that of repeated rows one stays, and of rows that share a doc_id only those
+    go whose own text is in the component. Rows without an id stay and are never a component's first.
+    """
+    row = "_row"
+    while row in {c.lower() for c in docs.columns}:
+        row += "_"
+    docs_ = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = clustered(docs_.select(F.col(row).alias("doc_id"), "text"), k, percent).select(F.col("doc_id").alias("row"), "component_id")
+    many = groups.groupBy("component_id").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("component_id")
+    held = groups.join(many, "component_id").join(docs_.select(F.col(row).alias("row"), "doc_id").where("doc_id is not null"), "row")
+    held = written(held.select("component_id", "doc_id", "row"))
+    first = held.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("first")).select("component_id", F.col("first.row").alias("first"))
+    gone = held.join(first, "component_id").where("row <> first").select(F.col("row").alias(row))
+    return docs_.join(gone, row, "left_anti").select(*docs.columns)
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -84,6 +84,17 @@ def test_survivors(spark):
     assert ngram_join.clustered(frame(spark, [])).count() == 0
 
 
+def test_survivors_by_row(spark):
+    """Repeated rows, and ids that stand at several texts: one row of each group stays, other texts of an id are left alone."""
+    one, two, three = (" ".join(f"{c}{i}" for i in range(60)) for c in "abc")
+    rows = [(1, one), (1, one), (2, one + " x"), (2, two), (3, three), (3, three + " y"), (4, None), (4, None), (5, ""), (5, "")]
+    out = ngram_join.survivors(frame(spark, rows).withColumnRenamed("_block", "_row"))
+    assert "_row" in out.columns
+    got = sorted((r.doc_id, r.text or "") for r in out.collect())
+    assert got in [sorted([(1, one), (2, two), (3, t), (4, ""), (4, ""), (5, ""), (5, "")]) for t in (three, three + " y")]
+    assert ngram_join.survivors(frame(spark, [])).count() == 0
+
+
 def test_substring_dedup_equals_sql(spark):
     rows = [(i, t) for i, t in corpus() if i is not None]
     docs = frame(spark, rows)
