@@ -178,6 +178,8 @@ def _merged(t):
         if len(k):
             out.append((blocks[i], h[k].tobytes(), _narrow(first[k])))
     cols = list(zip(*out, strict=True)) or [[]] * 3
+    del hs, h, lo, n, row, o, first, total, keep
+    T.released()
     return pa.table({"_block": pa.array(cols[0], pa.int32()), "h": pa.array(cols[1], pa.binary()), "lo": pa.array(cols[2], pa.binary())})
 
 

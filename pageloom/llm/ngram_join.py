@@ -150,7 +150,10 @@ def _shared_regions(percent: int):
             first, end = np.searchsorted(size, region + -(-percent * n // 100)), np.searchsorted(size, region + top, "right")
             # some other set is small enough for this one, and this one is small enough for some set as large as any of those
             o = np.flatnonzero(end - first > (top >= n))
-        return pa.table({"h": h[o], "sid": sid[o]})
+        out = pa.table({"h": h[o], "sid": sid[o]})
+        del h, sid, n, top, region, size, first, end, o
+        T.released()
+        return out
 
     return one
 
@@ -355,6 +358,8 @@ def _forest(percent: int):
         o = np.argsort(d, kind="stable")
         join(a[o], b[o])
         x, y = (own[np.array(v, np.int64)] for v in (zip(*out, strict=True) if out else ([], [])))
+        del region, held, a, b, d
+        T.released()
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return one
@@ -370,6 +375,8 @@ def _across(percent: int):
         for a, b, _ in _searched(region, large, small, label, False):
             found.append(np.minimum(a, b) * len(own) + np.maximum(a, b))
         key = np.unique(np.concatenate(found))
+        del region, found
+        T.released()
         return pa.table({"a": own[key // max(1, len(own))], "b": own[key % max(1, len(own))]})
 
     return one

@@ -7,6 +7,7 @@ once. Nothing here keeps a table that grows with the input.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,16 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _POWERS: dict[int, np.ndarray] = {}
+RELEASE_BYTES = 1 << 23  # of texts between two releases
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc only
+_unreleased = 0
+
+
+def released() -> None:
+    """Gives free memory back to the system; a Python worker between two tasks would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -64,6 +75,8 @@ class Slice:
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """Cuts a string column into slices of about ``limit`` bytes; a longer text is one slice. Nulls are empty."""
+    global _unreleased
+    _unreleased += column.nbytes
     chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
     base = 0
     for chunk in chunks:
@@ -82,6 +95,9 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
                 yield Slice(base + lo, base + hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
                 lo = hi
         base += n
+    if _unreleased >= RELEASE_BYTES:
+        _unreleased = 0
+        released()
 
 
 @dataclass
