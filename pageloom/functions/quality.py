@@ -89,10 +89,15 @@ def readable_ratio(c: Column) -> Column:
     return F.when(total == 0, 1.0).otherwise(count(c, READABLE) / total)
 
 
+def _odd(c: Column) -> Column:
+    """Whether a text holds a character that is neither readable nor white space, or a replacement character; all of its visible ones are readable if not."""
+    return c.rlike(rf"[^\x20-\x7e\n\p{{L}}\p{{N}}\p{{P}}\p{{S}}{WS}]") | c.contains("\ufffd")
+
+
 def is_undecodable(c: Column) -> Column:
-    """A text whose glyphs could not be decoded: many replacement or private-use characters, or few readable ones."""
+    """A text whose glyphs could not be decoded: many replacement or private-use characters, or few readable ones. Counted only where there are any such."""
     total = visible(c)
-    return (total > 0) & ((count(c, r"[\x{fffd}\p{Co}]") / total >= 0.3) | (readable_ratio(c) < 0.3))
+    return F.when(_odd(c), (total > 0) & ((count(c, r"[\x{fffd}\p{Co}]") / total >= 0.3) | (readable_ratio(c) < 0.3))).when(c.isNotNull(), False)
 
 
 # Korean text: fixed word lists and unit syllables.
@@ -146,7 +151,7 @@ def _korean_part(t: Column) -> Column:
 
 def is_garbled(c: Column) -> Column:
     t = strip(c)
-    return F.when(t == "", False).when(readable_ratio(t) < 0.3, True).otherwise(_korean_part(t) >= 0.3)
+    return F.when(t == "", False).when(F.when(_odd(t), readable_ratio(t) < 0.3).otherwise(False), True).otherwise(_korean_part(t) >= 0.3)
 
 
 def garbled_ratio(c: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,24 @@ def length(c: Column) -> Column:
     return F.length(c).cast("long")
 
 
+def has(c: Column, marks: Iterable[str]) -> Column:
+    """Whether a text holds one of some literal strings: a search of bytes, with which the patterns that need one are kept from the other texts."""
+    out = F.lit(False)
+    for m in marks:
+        out = out | c.contains(m)
+    return out
+
+
+def first_in(c: Column, chars: str) -> Column:
+    """Whether a text's first character is in a class, given without brackets."""
+    return F.substring(c, 1, 1).rlike(f"[{chars}]")
+
+
+def last_in(c: Column, chars: str) -> Column:
+    """Whether a text's last character is in a class, given without brackets."""
+    return F.substring(c, -1, 1).rlike(f"[{chars}]")
+
+
 def matches(c: Column, patterns: tuple[str, ...]) -> Column:
     out = F.lit(False)
     for p in patterns:
@@ -46,12 +66,14 @@ def matches(c: Column, patterns: tuple[str, ...]) -> Column:
 def normalized(c: Column) -> Column:
     """For comparing lines of pages: one space for white space, no page number at either end, empty if only digits."""
     one = strip(F.regexp_replace(c, f"[{WS}]+", " "))
-    bare = strip(F.regexp_replace(F.regexp_replace(one, r"\s+\d{1,4}\s*$", ""), r"^\s*\d{1,4}\s+", ""))
-    return F.when(one.rlike(r"^\d+$"), "").otherwise(bare)
+    bare = lambda t: strip(F.regexp_replace(F.regexp_replace(t, r"\s+\d{1,4}\s*$", ""), r"^\s*\d{1,4}\s+", ""))
+    numbered = lambda t: F.when(first_in(t, "0-9") | last_in(t, "0-9"), F.when(t.rlike(r"^\d+$"), "").otherwise(bare(t))).otherwise(t)
+    return F.transform(F.array(one), numbered)[0]  # so that the first step is done once
 
 
 def is_page_number(c: Column) -> Column:
-    return matches(strip(c), PAGE_NUMBER) | strip(c).rlike(STATUS)
+    t = strip(c)
+    return F.when(last_in(t, "0-9쪽Kk-"), matches(t, PAGE_NUMBER) | t.rlike(STATUS)).when(c.isNotNull(), False)
 
 
 def clean_cell(c: Column) -> Column:
@@ -64,7 +86,8 @@ def clean_cell(c: Column) -> Column:
 def bullets(c: Column) -> Column:
     """Unicode bullets as Markdown lists, inline ones on lines of their own."""
     t = F.regexp_replace(F.regexp_replace(c, r"(?<=\S)[ \t]*([●•])", "\n$1"), r"(?<=\S)[ \t]*([○◦])", "\n$1")
-    return F.regexp_replace(F.regexp_replace(t, r"(?m)^[●•][\x{200b}\s]*", "- "), r"(?m)^[○◦][\x{200b}\s]*", "  - ")
+    t = F.regexp_replace(F.regexp_replace(t, r"(?m)^[●•][\x{200b}\s]*", "- "), r"(?m)^[○◦][\x{200b}\s]*", "  - ")
+    return F.when(has(c, "●•○◦"), t).otherwise(c)
 
 
 CIRCLED = "①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳"

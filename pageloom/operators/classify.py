@@ -11,7 +11,9 @@ from ..plans.config import DEFAULT, Config
 
 # Patterns, weights, thresholds, levels.
 NUMBERING = (r"^제\s*\d+\s*(?:편|장|절|관|조)", "^[①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳]", r"^\d+(?:\.\d+)*\.\s", r"^[가-하]\.\s", r"^\(\d+\)\s", r"(?i)^\([a-z]\)\s", r"(?i)^(?:chapter|section|part)\s+\d+")
+NUMBERED = "0-9(가-하제①-⑳CcSsPp"  # what those begin with
 DATA = (r"^[A-Za-z가-힣]+\s*:\s+\S", "[→⇒⟶]|->", r"\d{4}[-/]\d{2}[-/]\d{2}", r"\d{1,2}:\d{2}", "[A-Z]{2,}/[A-Z]{2,}")
+DATA_MARKS = (":", "-", "/", "→", "⇒", "⟶")  # of which each of those needs one
 LEVELS = ((r"^제\s*\d+\s*편", 1), (r"^제\s*\d+\s*장", 2), (r"^제\s*\d+\s*절", 3), (r"^제\s*\d+\s*관", 3), (r"^제\s*\d+\s*조", 4), (r"(?i)^(?:chapter|part)\s+\d+", 1), (r"(?i)^section\s+\d+", 2))
 WEIGHTS = {"font_deviation": (0.13, 0.0), "font_weight": (0.10, 0.0), "bbox_height_ratio": (0.10, 0.0), "vertical_gap": (0.08, 0.25), "text_length": (0.10, 0.12), "has_numbering": (0.25, 0.25), "layout_label": (0.12, 0.15), "ends_without_period": (0.05, 0.05), "width_ratio": (0.07, 0.08), "data_bearing": (0.0, -0.25)}  # on usual pages, on pages of one font
 THRESHOLD = 0.35
@@ -56,18 +58,18 @@ def signals(avg: Column, label: Column) -> dict[str, Column]:
         "bbox_height_ratio": F.when(c("_median") <= 0, 0.0).otherwise(_ratio_signal((c("y1") - c("y0")) / c("_median"))),
         "vertical_gap": F.when(c("_before").isNull() | (c("height") <= 0), 0.0).when(gap >= 0.05, 1.0).when(gap >= 0.02, (gap - 0.02) / 0.03).otherwise(0.0),
         "text_length": F.when(n == 0, 0.0).when(n <= 10, 1.0).when(n <= 30, 0.7).when(n <= 60, 0.3).when(n <= 100, 0.1).otherwise(0.0),
-        "has_numbering": X.matches(t, NUMBERING).cast("double"),
+        "has_numbering": F.when(X.first_in(t, NUMBERED), X.matches(t, NUMBERING)).otherwise(False).cast("double"),
         "layout_label": F.coalesce(label.isin("Title", "Section-header", "title", "section-header"), F.lit(False)).cast("double"),
-        "ends_without_period": F.when((n == 0) | t.rlike("[.。]$"), 0.0).otherwise(1.0),
+        "ends_without_period": F.when((n == 0) | X.last_in(t, ".。"), 0.0).otherwise(1.0),
         "width_ratio": F.when((c("width") <= 0) | (width <= 0), 0.0).when(ratio <= 0.3, 1.0).when(ratio <= 0.5, 0.6).when(ratio <= 0.7, 0.3).otherwise(0.0),
-        "data_bearing": F.when(n == 0, 0.0).otherwise(X.matches(t, DATA).cast("double")),
+        "data_bearing": F.when(n == 0, 0.0).otherwise(F.when(X.has(t, DATA_MARKS), X.matches(t, DATA)).otherwise(False).cast("double")),
     }
 
 
 def classified(blocks: DataFrame, avg_font_size: DataFrame, label: str | None = None) -> DataFrame:
     """Adds score, block_type (heading or text) and heading_level. ``avg_font_size``: doc_id, avg_font_size."""
     lab = F.col(label) if label else F.lit(None).cast("string")
-    b = with_page_figures(blocks).join(avg_font_size.select("doc_id", F.col("avg_font_size").alias("_avg")), "doc_id")
+    b = with_page_figures(blocks.join(avg_font_size.select("doc_id", F.col("avg_font_size").alias("_avg")), "doc_id"))  # rows dealt by document serve the pages' windows too
     s = signals(F.col("_avg"), lab)
     b = b.withColumns({f"_s_{k}": v for k, v in s.items()})
     score = F.lit(0.0)
@@ -110,6 +112,7 @@ LEGAL_DECIMAL = r"^\d+\.\d+(?:\.\d+)?\s+"
 LEGAL_DEPTH = ((r"^\d+\.\d+\.\d+\s+", 3), (r"^\d+\.\d+\s+", 1), (rf"^{_KR}\.\s+", 2), (r"^\(\d+\)\s*", 2))
 LEGAL_PREFIX = rf"^(\d+\.\d+(?:\.\d+)?\s|\d+\.\s|{_KR}\.\s|\(\d+\)\s)"
 LEGAL_LAST = ((r"^\d+\.\s+", "subclause", 0), (rf"^{_KR}\.\s+", "subclause", 0))
+LEGAL_MARKS = "0-9(제가나다라마바사아자차카타파하①-⑳ⅰ-ⅹ"
 ACADEMIC_FIRST = (
     (r"(?i)^part\s+[ivxlcdm\d]+\b", "heading", 1), (r"(?i)^chapter\s+\d+\b", "heading", 1), (r"(?i)^section\s+\d+\b", "heading", 2), (r"^\d+\.\d+\.\d+\s+\S", "heading", 4), (r"^\d+\.\d+\s+\S", "heading", 3), (r"^\d+\.\s+\S", "heading", 2),
     (r"(?i)^figure\s+\d+", "item", 0), (r"(?i)^table\s+\d+", "item", 0), (r"^[\-\*•]\s+", "item", 0), (r"(?i)^\([a-z]\)\s+", "item", 0), (r"(?i)^[a-z]\)\s+", "item", 0),
@@ -140,11 +143,12 @@ def korean_legal(text: Column, size: Column, bold: Column, avg: Column, cfg: Con
 def legal_type(text: Column, size: Column, bold: Column, avg: Column, cfg: Config = DEFAULT) -> Column:
     """The block type of ``korean_legal`` alone, as a smaller expression."""
     t = X.strip(text)
-    out = F.when(t == "", "text")
+    large = (avg > 0) & (((size > avg * cfg.heading_bold_ratio) & bold) | (size > avg * cfg.heading_size_ratio))
+    # every pattern needs a mark at the start
+    out = F.when(t == "", "text").when(~X.first_in(t, LEGAL_MARKS), F.when(large & bold & (F.length(t) <= 80), "heading").otherwise("text"))
     for p, kind, _ in LEGAL_FIRST:
         out = out.when(t.rlike(p), kind)
     out = out.when(t.rlike(LEGAL_DECIMAL) & (F.length(t) <= 80), "heading")
-    large = (avg > 0) & (((size > avg * cfg.heading_bold_ratio) & bold) | (size > avg * cfg.heading_size_ratio))
     out = out.when(large & (X.matches(t, (*(p for p, _ in LEGAL_DEPTH), LEGAL_PREFIX)) | (bold & (F.length(t) <= 80))), "heading")
     for p, kind, _ in LEGAL_LAST:
         out = out.when(t.rlike(p), kind)

@@ -89,8 +89,9 @@ def outside(blocks: DataFrame, regions: DataFrame, share: float = 0.3) -> DataFr
     """Blocks of which at most a share lies in a region (a table, say); blocks without area stay."""
     r = regions.select(*KEYS, *(F.col(c).alias(f"r_{c}") for c in ("x0", "y0", "x1", "y1")))
     i = G.intersection(G.box(), G.box("r_"))
-    inside = blocks.select(*KEYS, "seq", "x0", "y0", "x1", "y1").join(r, KEYS).where((i > 0) & (G.area(G.box()) > 0) & (i / G.area(G.box()) > share)).select(*KEYS, "seq").distinct()
-    return blocks.join(inside, [*KEYS, "seq"], "left_anti")
+    inside = blocks.select(*KEYS, "seq", "x0", "y0", "x1", "y1").join(r, KEYS).where((i > 0) & (G.area(G.box()) > 0) & (i / G.area(G.box()) > share)).groupBy(*KEYS).agg(F.collect_set("seq").alias("_inside"))
+    # by page, so that texts are dealt as the joins with pages deal them
+    return blocks.join(inside, KEYS, "left").where(F.col("_inside").isNull() | ~F.coalesce(F.array_contains("_inside", F.col("seq")), F.lit(False))).drop("_inside")
 
 
 def uncovered(hints: DataFrame, tables: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -128,35 +129,35 @@ def in_column_order(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
     return j.withColumn("read_order", F.row_number().over(w)).drop("bounds")
 
 
-def in_layout_order(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """doc_id, page_num, seq, read_order: each box in turn takes the free block it overlaps most; the others follow from top to bottom.
+def _boxes_of_pages(boxes: DataFrame) -> DataFrame:
+    """doc_id, page_num, boxes: a page's layout boxes in order."""
+    return boxes.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("ord", "x0", "y0", "x1", "y1"))).alias("boxes"))
+
 
-    The choice depends on those before it, so that it runs per page in pandas; a page is small.
+def layout_orders(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """doc_id, page_num, has_boxes, seqs: a page's blocks in layout order, as in_layout_order gives them row by row.
+
+    The choice depends on those before it: a page's boxes are folded one by one over the places taken so far; a page is small.
     """
-    b = blocks.select(*KEYS, "seq", "x0", "y0", "x1", "y1").groupBy(*KEYS)
-    x = boxes.select(*(F.col(k).alias(f"_{k}") for k in KEYS), "ord", "x0", "y0", "x1", "y1").groupBy(*(f"_{k}" for k in KEYS))
-    least = cfg.layout_iou
-
-    def order(key, left, right):
-        left, right = left.sort_values("seq"), right.sort_values("ord")
-        free, out = list(left.itertuples(index=False)), []
-        for r in right.itertuples(index=False):
-            best, at = 0.0, -1
-            for i, t in enumerate(free):
-                w, h = min(r.x1, t.x1) - max(r.x0, t.x0), min(r.y1, t.y1) - max(r.y0, t.y0)
-                cross = max(0.0, w) * max(0.0, h)
-                union = (r.x1 - r.x0) * (r.y1 - r.y0) + (t.x1 - t.x0) * (t.y1 - t.y0) - cross
-                share = cross / union if union > 0 else 0.0
-                if share > best and share >= least:
-                    best, at = share, i
-            if at >= 0:
-                out.append(free.pop(at).seq)
-        out += [t.seq for t in (sorted(free, key=lambda t: (t.y0, t.x0)) if len(right) else free)]
-        import pandas as pd
-
-        return pd.DataFrame({"doc_id": key[0], "page_num": key[1], "seq": out, "read_order": range(1, len(out) + 1)})
-
-    return b.cogroup(x).applyInPandas(order, "doc_id long, page_num int, seq int, read_order int")
+    own = blocks.groupBy(*KEYS).agg(F.array_sort(F.collect_list(F.struct("seq", "x0", "y0", "x1", "y1"))).alias("free"))
+    at = lambda r: tuple(r[c] for c in ("x0", "y0", "x1", "y1"))
+
+    def taken_by(taken, r):
+        shares = F.transform("free", lambda t, i: F.struct(G.iou(at(r), at(t)).alias("share"), (-i).alias("k")))
+        fit = F.filter(shares, lambda s: (s["share"] > 0) & (s["share"] >= cfg.layout_iou) & ~F.array_contains(taken, -s["k"]))
+        return F.concat(taken, F.transform(F.array_compact(F.array(F.array_max(fit))), lambda s: -s["k"]))
+
+    p = own.join(_boxes_of_pages(boxes), KEYS, "left").withColumn("_taken", F.aggregate("boxes", F.array().cast("array<int>"), taken_by))
+    places = F.filter(F.transform("free", lambda t, i: F.struct(t["y0"].alias("y0"), t["x0"].alias("x0"), i.alias("i"))), lambda r: ~F.array_contains("_taken", r["i"]))
+    order = F.concat("_taken", F.transform(F.array_sort(places), lambda r: r["i"]))
+    seqs = F.when(F.col("boxes").isNull(), F.transform("free", lambda t: t["seq"])).otherwise(F.transform(order, lambda i: F.element_at("free", i + 1)["seq"]))
+    return p.select(*KEYS, F.col("boxes").isNotNull().alias("has_boxes"), seqs.alias("seqs"))
+
+
+def in_layout_order(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """doc_id, page_num, seq, read_order: each box in turn takes the free block it overlaps most; the others follow from top to bottom."""
+    o = layout_orders(blocks, boxes, cfg).select(*KEYS, F.posexplode("seqs").alias("_at", "seq"))
+    return o.select(*KEYS, F.col("seq").cast("int").alias("seq"), (F.col("_at") + 1).cast("int").alias("read_order"))
 
 
 def normalized(boxes: DataFrame) -> DataFrame:

@@ -18,26 +18,29 @@ def learned(blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     n_pages = F.count_distinct("page_num").alias("n_pages")
     edge = F.when(y < F.col("height") * cfg.header_ratio, "header").when(y > F.col("height") * (1 - cfg.footer_ratio), "footer")
     mark = F.when((y > F.col("height") * cfg.watermark_low) & (y < F.col("height") * cfg.watermark_high) & (F.col("size") > cfg.watermark_size), "watermark")
-    rows = blocks.select("doc_id", X.normalized(F.col("text")).alias("pattern"), F.explode(F.array_compact(F.array(edge, mark))).alias("kind")).where("pattern <> ''")
+    # only lines in a zone are normalised
+    rows = blocks.where(edge.isNotNull() | mark.isNotNull()).select("doc_id", F.explode(F.array_compact(F.array(edge, mark))).alias("kind"), "text").select("doc_id", X.normalized(F.col("text")).alias("pattern"), "kind")
     limit = F.least(F.lit(cfg.min_noise_repeat), F.greatest(F.lit(2), F.floor(F.col("n_pages") / 3)))
     counts = rows.groupBy("doc_id", "kind", "pattern").agg(F.count(F.lit(1)).alias("n"))
-    return counts.join(blocks.groupBy("doc_id").agg(n_pages), "doc_id").where(F.col("n") >= limit).select("doc_id", "kind", "pattern", "n")
+    return counts.join(blocks.groupBy("doc_id").agg(n_pages), "doc_id").where(F.when(F.col("pattern") != "", F.col("n")) >= limit).select("doc_id", "kind", "pattern", "n")
 
 
 def classified(blocks: DataFrame, patterns: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Adds ``noise``: empty, page_number, header, footer, watermark, or null for content."""
     y = G.center_y(G.box())
-    kinds = patterns.groupBy("doc_id", F.col("pattern").alias("_norm")).agg(F.collect_set("kind").alias("_kinds"))
-    b = blocks.withColumn("_norm", X.normalized(F.col("text"))).join(kinds, ["doc_id", "_norm"], "left")
-    known = lambda k: F.coalesce(F.array_contains("_kinds", k), F.lit(False))
+    own = patterns.where("pattern <> ''").groupBy("doc_id").agg(*(F.collect_set(F.when(F.col("kind") == k, F.col("pattern"))).alias(f"_{k}") for k in ("header", "footer", "watermark")))
+    b = blocks.join(own, "doc_id", "left")
+    norm = X.normalized(F.col("text"))
+    # a line is normalised only in a zone for which its document has patterns
+    known = lambda zone, k: zone & F.when(zone & (F.size(f"_{k}") > 0), F.array_contains(f"_{k}", norm)).otherwise(F.lit(False))
     band = (y > F.col("height") * cfg.watermark_low) & (y < F.col("height") * cfg.watermark_high)
     noise = (
-        F.when(X.strip(F.col("text")) == "", "empty").when(X.is_page_number(F.col("text")), "page_number").when(F.col("_norm") == "", None)
-        .when((y < F.col("height") * cfg.header_ratio) & known("header"), "header")
-        .when((y > F.col("height") * (1 - cfg.footer_ratio)) & known("footer"), "footer")
-        .when(band & known("watermark"), "watermark")
+        F.when(X.strip(F.col("text")) == "", "empty").when(X.is_page_number(F.col("text")), "page_number")
+        .when(known(y < F.col("height") * cfg.header_ratio, "header"), "header")
+        .when(known(y > F.col("height") * (1 - cfg.footer_ratio), "footer"), "footer")
+        .when(known(band, "watermark"), "watermark")
     )
-    return b.withColumn("noise", noise).drop("_norm", "_kinds")
+    return b.withColumn("noise", noise).drop("_header", "_footer", "_watermark")
 
 
 def with_layout(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -46,7 +49,10 @@ def with_layout(blocks: DataFrame, boxes: DataFrame, cfg: Config = DEFAULT) -> D
     kind = F.create_map(*[F.lit(v) for kv in NOISE_LABELS.items() for v in kv])
     hit = blocks.select("doc_id", "page_num", "seq", "x0", "y0", "x1", "y1").join(b, ["doc_id", "page_num"]).where(G.iou(G.box(), G.box("l_")) >= cfg.layout_iou)
     first = hit.groupBy("doc_id", "page_num", "seq").agg(F.min_by("label", "ord").alias("_label"))
-    return blocks.join(first, ["doc_id", "page_num", "seq"], "left").withColumn("noise", F.coalesce(F.element_at(kind, F.col("_label")), F.col("noise"))).drop("_label")
+    # by page, so that texts are dealt as the joins with pages deal them
+    own = first.groupBy("doc_id", "page_num").agg(F.map_from_entries(F.collect_list(F.struct("seq", "_label"))).alias("_labels"))
+    label = F.try_element_at("_labels", F.col("seq"))
+    return blocks.join(own, ["doc_id", "page_num"], "left").withColumn("noise", F.coalesce(F.element_at(kind, label), F.col("noise"))).drop("_labels")
 
 
 def stats(blocks: DataFrame) -> DataFrame:

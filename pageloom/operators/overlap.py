@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -24,30 +23,23 @@ def beside(found: DataFrame, known: DataFrame, share: float = 0.5) -> DataFrame:
     return found.join(hit, [*KEYS, "seq"], "left_anti")
 
 
-def _overlap(a, b, smaller: bool) -> float:
-    w, h = min(a.x1, b.x1) - max(a.x0, b.x0), min(a.y1, b.y1) - max(a.y0, b.y0)
-    both = max(0.0, w) * max(0.0, h)
-    sizes = (max(0.0, a.x1 - a.x0) * max(0.0, a.y1 - a.y0), max(0.0, b.x1 - b.x0) * max(0.0, b.y1 - b.y0))
-    base = min(sizes) if smaller else sum(sizes) - both
-    return both / base if base > 0 else 0.0
+def _overlap(a: Column, b: Column, smaller: bool) -> Column:
+    """Of two boxes as structs: the common area over the smaller area or the union; 0 where that is empty."""
+    a, b = (tuple(r[c] for c in ("x0", "y0", "x1", "y1")) for r in (a, b))
+    return share_of_smaller(a, b) if smaller else G.iou(a, b)
 
 
 def first_of_overlapping(boxes: DataFrame, order: str, limit: float, smaller: bool = False) -> DataFrame:
     """doc_id, page_num and order of the boxes kept: each, in order, unless it overlaps one kept before by more than the limit.
 
-    Overlap is intersection over union, or the share of the smaller box. What is kept depends on what was kept, so that a
-    page is one pandas group; a page holds some dozens of boxes.
+    Overlap is intersection over union, or the share of the smaller box. What is kept depends on what was kept: a page's boxes
+    are folded one by one over those kept so far; a page holds some dozens of boxes.
     """
-
-    def page(key, w):
-        kept: list = []
-        for r in w.sort_values(order, kind="stable").itertuples(index=False):
-            if all(_overlap(r, k, smaller) <= limit for k in kept):
-                kept.append(r)
-        return pd.DataFrame({"doc_id": key[0], "page_num": key[1], order: [getattr(r, order) for r in kept]})
-
-    cols = boxes.select(*KEYS, F.col(order).cast("long").alias(order), "x0", "y0", "x1", "y1")
-    return cols.groupBy(*KEYS).applyInPandas(page, f"doc_id long, page_num int, {order} long")
+    box = F.struct(F.col(order).cast("long").alias("n"), "x0", "y0", "x1", "y1")
+    pages = boxes.groupBy(*KEYS).agg(F.array_sort(F.collect_list(box)).alias("_boxes"))
+    covered = lambda kept, r: F.exists(kept, lambda k: _overlap(r, k, smaller) > limit)
+    kept = F.aggregate("_boxes", F.slice("_boxes", 1, 0), lambda kept, r: F.when(covered(kept, r), kept).otherwise(F.concat(kept, F.array(r))))
+    return pages.select(*KEYS, F.explode(F.transform(kept, lambda r: r["n"])).alias(order))
 
 
 def distinct_images(images: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ DENSITY = 0.002
 
 
 def _has_word(c):
-    t = F.regexp_replace(c, r"목차로\s*돌아가기", "")
+    t = F.when(X.has(c, ("목차로",)), F.regexp_replace(c, r"목차로\s*돌아가기", "")).otherwise(c)
     out = F.lit(False)
     for w in TOC_WORDS:
         out = out | t.contains(w)
@@ -37,7 +37,7 @@ def page_stats(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page_num").agg(
         F.count(F.lit(1)).alias("n"), F.avg("size").alias("avg_size"),
         F.avg((F.abs(G.center_x(b) - F.col("width") / 2) <= F.col("width") * 0.25).cast("double")).alias("centered"),
-        F.avg((F.length(t) < 30).cast("double")).alias("short"), F.avg(t.rlike(r"\d{1,4}\s*$").cast("double")).alias("numbered"),
+        F.avg((F.length(t) < 30).cast("double")).alias("short"), F.avg(X.last_in(t, "0-9").cast("double")).alias("numbered"),
     )
 
 
@@ -45,28 +45,31 @@ def is_cover():
     return (F.col("page_num") <= 3) & (F.col("n") <= 10) & (F.col("avg_size") >= 14) & (F.col("centered") >= 0.5)
 
 
-def is_toc():
-    return _has_word(F.col("raw_text")) | ((F.col("n") >= 5) & (F.col("short") >= 0.6) & (F.col("numbered") >= 0.4))
+def is_toc(word=None):
+    """``word``: whether the page's text has a word for contents, if that is known."""
+    return (_has_word(F.col("raw_text")) if word is None else word) | ((F.col("n") >= 5) & (F.col("short") >= 0.6) & (F.col("numbered") >= 0.4))
 
 
 def toc_line_share(c):
     """The share of lines that look like entries of a table of contents; null without lines."""
     ls = F.filter(F.transform(F.split(c, "\n"), X.strip), lambda x: x != "")
-    return F.size(F.filter(ls, lambda x: X.matches(x, TOC_LINES))) / F.nullif(F.size(ls), F.lit(0))
+    entry = lambda x: F.when(X.has(x, ("...", "……")) | X.last_in(x, "0-9"), X.matches(x, TOC_LINES)).otherwise(False)  # noqa: E731  no other line can be one
+    return F.size(F.filter(ls, entry)) / F.nullif(F.size(ls), F.lit(0))
 
 
 def typed(pages: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """Adds ``page_type``: cover, toc, noise, scanned, mixed or digital."""
     t = F.col("raw_text")
-    chars = F.length(X.strip(t))
-    share = F.coalesce(toc_line_share(t), F.lit(0.0))
+    # all that looks at a page's text comes before the join, through which the text then needn't go
+    p = pages.withColumns({"_chars": F.length(X.strip(t)), "_word": _has_word(t), "_share": F.coalesce(toc_line_share(t), F.lit(0.0))})
+    chars = F.col("_chars")
     enough = chars >= cfg.min_chars_per_page
+    p = p.withColumn("_broken", F.coalesce(enough & (Q.is_undecodable(t) | ((chars < cfg.garble_text_trust_chars) & Q.is_garbled(t))), F.lit(False)))
     kind = (
-        F.when(is_cover(), "cover").when(is_toc(), "toc").when((chars < 5) & ~F.col("has_images"), "noise").when(share > cfg.toc_threshold, "noise")
-        .when(enough & Q.is_undecodable(t), "scanned").when(enough & (chars < cfg.garble_text_trust_chars) & Q.is_garbled(t), "scanned")
-        .when(~enough, "scanned").when(F.col("image_ratio") > cfg.image_area_table_hint, "mixed").otherwise("digital")
+        F.when(is_cover(), "cover").when(is_toc(F.col("_word")), "toc").when((chars < 5) & ~F.col("has_images"), "noise").when(F.col("_share") > cfg.toc_threshold, "noise")
+        .when(F.col("_broken"), "scanned").when(~enough, "scanned").when(F.col("image_ratio") > cfg.image_area_table_hint, "mixed").otherwise("digital")
     )
-    return pages.join(page_stats(blocks), ["doc_id", "page_num"]).withColumn("page_type", kind)
+    return p.join(page_stats(blocks), ["doc_id", "page_num"]).withColumn("page_type", kind).drop("_chars", "_word", "_share", "_broken")
 
 
 def profile(pages: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -13,9 +13,9 @@ SKIPPED = ("page_footer", "page_number", "page_header")
 COVER, TOC = "## [표지]", "## [목차]"  # fixed values
 
 
-def block_markdown(codecs: bool = True) -> Column:
-    """A block's lines; null if it shows nothing."""
-    t = codec.repair(X.strip(F.col("text")), codecs)
+def block_markdown(codecs: bool = True, repaired: Column | None = None) -> Column:
+    """A block's lines; null if it shows nothing. ``repaired``: its repaired text, if that is worked out already."""
+    t = codec.repair(X.strip(F.col("text")), codecs) if repaired is None else repaired
     kind = F.col("block_type")
     hashes = F.repeat(F.lit("#"), F.least(F.col("heading_level"), F.lit(6)))
     return (
@@ -42,14 +42,17 @@ def image_lines(folder: str | None = None, ext: Column | None = None, codecs: bo
 
 def page_markdown(blocks: DataFrame, tables: DataFrame | None = None, codecs: bool = True, images: DataFrame | None = None, folder: str | None = None) -> DataFrame:
     """doc_id, page_num, markdown: blocks, tables (doc_id, page_num, y0, table_id, markdown) and images (doc_id, page_num, y0, height, img, block_id, caption, alt_text) from top to bottom."""
-    rows = blocks.select("doc_id", "page_num", "y0", F.lit(0).alias("kind"), F.col("seq").cast("long").alias("n"), block_markdown(codecs).alias("md"))
+    # a text is repaired once, in a projection of its own; a filter on the rows' Markdown would have it all done twice
+    blocks = blocks.withColumn("_repaired", codec.repair(X.strip(F.col("text")), codecs))
+    rows = blocks.select("doc_id", "page_num", "y0", F.lit(0).alias("kind"), F.col("seq").cast("long").alias("n"), block_markdown(codecs, F.col("_repaired")).alias("md"))
     if tables is not None:
         rows = rows.unionByName(tables.where("markdown <> ''").select("doc_id", "page_num", "y0", F.lit(1).alias("kind"), F.col("table_id").alias("n"), F.concat(F.lit("\n"), F.col("markdown"), F.lit("\n")).alias("md")))
     if images is not None:
         md = F.concat(F.lit("\n"), image_lines(folder, F.lit("png"), codecs), F.lit("\n"))
         rows = rows.unionByName(images.select("doc_id", "page_num", "y0", F.lit(2).alias("kind"), F.col("img").cast("long").alias("n"), md.alias("md")))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y0", "kind", "n", "md"))), lambda x: x["md"]), "\n")
-    return rows.where(F.col("md").isNotNull()).groupBy("doc_id", "page_num").agg(text.alias("markdown"))
+    shown = F.collect_list(F.when(F.col("md").isNotNull(), F.struct("y0", "kind", "n", "md")))
+    text = F.array_join(F.transform(F.array_sort("_shown"), lambda x: x["md"]), "\n")
+    return rows.groupBy("doc_id", "page_num").agg(shown.alias("_shown")).where(F.size("_shown") > 0).select("doc_id", "page_num", text.alias("markdown"))
 
 
 def marker_page(blocks: DataFrame, header: str) -> DataFrame:
@@ -64,17 +67,19 @@ def post_processed(pages: DataFrame) -> DataFrame:
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "markdown"))), lambda x: x["markdown"]), "\n\n---\n\n")
     d = pages.where(X.strip(F.col("markdown")) != "").groupBy("doc_id").agg(body.alias("t"))
     lines = d.select("doc_id", F.posexplode(F.split("t", "\n")).alias("line_no", "line"))
-    t = F.regexp_replace(F.regexp_replace("line", r"[\x{a0}\x{2002}\x{2003}\x{3000}]", " "), r"\s*·{3,}\s*", " ")
-    lead = F.regexp_extract(t, f"^[{X.WS}]*", 0)
-    rest = F.regexp_replace(F.substring(t, F.length(lead) + 1, F.length(t)), " {2,}", " ")
-    lines = structure.merged_broken_lines(lines.withColumn("line", F.concat(lead, rest)))
+    line = F.col("line")
+    lines = lines.withColumn("line", F.when(X.has(line, "\xa0\u2002\u2003\u3000"), F.regexp_replace("line", r"[\x{a0}\x{2002}\x{2003}\x{3000}]", " ")).otherwise(line))
+    lines = lines.withColumn("line", F.when(X.has(line, ("···",)), F.regexp_replace("line", r"\s*·{3,}\s*", " ")).otherwise(line))
+    rest = F.ltrim(line, F.lit(X.WS_CHARS))
+    put = F.concat(F.substring(line, F.lit(1), F.length(line) - F.length(rest)), F.regexp_replace(rest, " {2,}", " "))
+    lines = structure.merged_broken_lines(lines.withColumn("line", F.when(X.has(line, ("  ",)), put).otherwise(line)))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
     d = lines.groupBy("doc_id").agg(text.alias("t"))
-    c = F.regexp_replace("t", "\n{4,}", "\n\n\n")
-    c = F.regexp_replace(c, "\n*\n---\n\n*", "\n\n---\n\n")
-    c = F.regexp_replace(c, f"(?:\n---\n[{X.WS}]*){{2,}}", "\n\n---\n\n")
-    c = F.array_join(F.transform(F.split(c, "\n"), X.rstrip), "\n")
-    return d.select("doc_id", X.strip(c).alias("markdown"))
+    t = F.col("t")
+    d = d.withColumn("t", F.when(X.has(t, ("\n\n\n\n",)), F.regexp_replace(t, "\n{4,}", "\n\n\n")).otherwise(t))
+    ruled = F.regexp_replace(F.regexp_replace(t, "\n*\n---\n\n*", "\n\n---\n\n"), f"(?:\n---\n[{X.WS}]*){{2,}}", "\n\n---\n\n")
+    d = d.withColumn("t", F.when(X.has(t, ("\n---\n",)), ruled).otherwise(t))
+    return d.select("doc_id", X.strip(F.array_join(F.transform(F.split("t", "\n"), X.rstrip), "\n")).alias("markdown"))
 
 
 def front_matter(m: DataFrame) -> DataFrame:

@@ -14,6 +14,8 @@ POSTPOSITIONS = "은 는 이 가 을 를 에 의 로 와 과 도 만 까지 부
 CONJUNCTIONS = "그러나 다만 또한 및 또는 그리고 따라서 아울러".split()
 SUFFIXES = "의 에 를 을 한 된 는 로".split()
 STRUCTURE_START = r"^(#{1,6}\s|제\s*\d+\s*[편장절관조]|[①-⑩]\s*|\d+\.\d+(?:\.\d+)?\s+|\d+\.\s+|[가-하]\.\s+|-\s+|[●○•◦]\s*|\||>|---|$)"
+STRUCTURE_MARKS = "#0-9제가-하①-⑩●○•◦|>-"  # what that begins with, if a line isn't empty
+OPEN, CLOSE = r"(（\[「『【", r")）\]」』】"  # texts are compared stripped
 SENTENCE_END = ".。?!」)）】"
 
 
@@ -47,7 +49,7 @@ def promoted(blocks: DataFrame) -> DataFrame:
 
 
 def _starts(c: Column, words: list[str]) -> Column:
-    return c.rlike("^(?:" + "|".join(words) + ")")
+    return F.when(X.first_in(c, "".join(w[0] for w in words)), c.rlike("^(?:" + "|".join(words) + ")")).otherwise(False)
 
 
 def splits(avg_gap: Column, cfg: Config = DEFAULT) -> Column:
@@ -65,25 +67,25 @@ def splits(avg_gap: Column, cfg: Config = DEFAULT) -> Column:
     return (
         F.when((cur == "") | (prev == ""), True)
         .when((height > 0) & (gap >= height * cfg.line_height_split_factor), True)
-        .when(prev.rlike(r"[\(（\[「『【]\s*$"), False).when(cur.rlike(r"^\s*[\)）\]」』】]"), False)
-        .when(prev.rlike(r",\s*$"), False).when(prev.rlike(r"[-–—]\s*$"), False)
+        .when(X.last_in(prev, OPEN), False).when(X.first_in(cur, CLOSE), False)
+        .when(X.last_in(prev, ",–—-"), False)
         .when(its == "heading", ~goes_on)
         .when(mine.isin("heading", "clause", "subclause", "item"), True)
         .when((avg_gap > 0) & (gap > avg_gap * cfg.line_gap_multiplier), True)
         .when(indent > cfg.indent_tolerance, True)
         .when((F.abs(c("size") - c("p_size")) > 1.0) | (c("is_bold") != c("p_is_bold")), True)
         .when(_starts(cur, POSTPOSITIONS) | _starts(cur, CONJUNCTIONS), False)
-        .when(prev.rlike(r"(?:\d[\d,.]+\s*원|\d{4}[./-]\d{1,2}[./-]\d{1,2})\s*$"), False)
-        .when(~prev.rlike("[.。?!:;]$"), False)
-        .when(prev.rlike("(?:" + "|".join(SUFFIXES) + ")$"), False)
+        .when(F.when(X.last_in(prev, "0-9원"), prev.rlike(r"(?:\d[\d,.]+\s*원|\d{4}[./-]\d{1,2}[./-]\d{1,2})\s*$")).otherwise(False), False)
+        .when(~X.last_in(prev, ".。?!:;"), False)
+        .when(X.last_in(prev, "".join(SUFFIXES)), False)
         .when(same_font, False).otherwise(True)
     )
 
 
 def separator(prev: Column, cur: Column, crosses: Column | None = None) -> Column:
     """What stands between two joined lines."""
-    open_ = prev.rlike(r"[\(（\[「『【]\s*$") | cur.rlike(r"^\s*[\)）\]」』】]")
-    korean = prev.rlike("[가-힣]$") & cur.rlike("^[가-힣]")
+    open_ = X.last_in(prev, OPEN) | X.first_in(cur, CLOSE)
+    korean = X.last_in(prev, "가-힣") & X.first_in(cur, "가-힣")
     out = F.when(open_, "")
     if crosses is not None:
         out = out.when(crosses, " ")
@@ -118,15 +120,17 @@ def merged_broken_lines(lines: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -
     w = Window.partitionBy(*keys).orderBy("line_no")
     s = X.strip(F.col("line"))
     last = F.substring(s, -1, 1)
-    b = lines.withColumns({"_s": s, "_next": X.strip(F.lead("line").over(w))})
-    can = F.coalesce((F.col("_s") != "") & ~F.col("_s").rlike(STRUCTURE_START) & ~last.isin(*SENTENCE_END) & (F.col("_next") != "") & ~F.col("_next").rlike(STRUCTURE_START), F.lit(False))
+    b = lines.withColumn("_s", s)
+    # each line is looked at once, and the one before it takes from there whether it begins a structure
+    b = b.withColumn("_starts", F.when(F.col("_s") == "", True).when(X.first_in(F.col("_s"), STRUCTURE_MARKS), F.col("_s").rlike(STRUCTURE_START)).otherwise(False))
+    b = b.withColumns({"_next": F.lead("_s").over(w), "_next_starts": F.lead("_starts").over(w)})
+    can = F.coalesce(~F.col("_starts") & ~last.isin(*SENTENCE_END) & ~F.col("_next_starts"), F.lit(False))
     b = b.withColumn("_can", can)
-    b = b.withColumn("_run", F.sum((~F.col("_can")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    b = b.withColumn("_run", F.coalesce("_run", F.lit(0)))
-    at = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy("line_no"))
-    b = b.withColumn("_takes", F.col("_can") & (at % 2 == 1))
+    b = b.withColumn("_at", F.row_number().over(w))
+    before = F.max(F.when(~F.col("_can"), F.col("_at"))).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    b = b.withColumn("_takes", F.col("_can") & ((F.col("_at") - F.coalesce(before, F.lit(0))) % 2 == 1))
     b = b.withColumn("_taken", F.coalesce(F.lag("_takes").over(w), F.lit(False)))
-    korean = F.col("_s").rlike("[가-힣]$") & F.col("_next").rlike("^[가-힣]")
+    korean = X.last_in(F.col("_s"), "가-힣") & X.first_in(F.col("_next"), "가-힣")
     # the indent is measured against the stripped length
     indent = F.substring("line", F.lit(1), F.length("line") - F.length("_s"))
     text = F.when(F.col("_takes"), F.concat(indent, F.col("_s"), F.when(korean, "").otherwise(" "), F.col("_next"))).otherwise(F.col("line"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,15 +31,18 @@ def scores(tables: DataFrame, cells: DataFrame, preset: str = "legal") -> DataFr
     return out.select("table_id", F.round(F.when((F.col("rows") > 0) & (F.col("n") > 0), score).otherwise(0.0), 6).alias("score"))
 
 
-def without_leader_rows(tables: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drops rows that look like entries of a table of contents, numbers the others anew, drops tables with under two rows left."""
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("col", "text"))), lambda x: x["text"])
-    whole = F.array_join(F.filter(F.transform(F.col("texts"), X.strip), lambda x: x != ""), " ")
-    rows = cells.groupBy("table_id", "row").agg(texts.alias("texts")).select("table_id", "row", (whole.rlike(ENTRY) | F.exists("texts", lambda x: x.rlike(LEADER))).alias("leader"))
-    keep = rows.where(~F.col("leader")).select("table_id", "row", (F.row_number().over(Window.partitionBy("table_id").orderBy("row")) - 1).alias("new"))
-    n = keep.groupBy("table_id").agg(F.count(F.lit(1)).alias("left")).where(F.col("left") >= 2)
-    out = cells.join(keep, ["table_id", "row"]).join(n.select("table_id"), "table_id").withColumn("row", F.col("new").cast("int")).drop("new")
-    return tables.join(n, "table_id").withColumn("rows", F.col("left").cast("int")).drop("left"), out
+def without_leader_rows(tables: DataFrame, cells: DataFrame, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+    """Drops rows that look like entries of a table of contents, numbers the others anew, drops tables with under two rows left.
+
+    A row is an entry if leader dots stand in one of its cells. ``cut`` is given the tables' lists of rows that stay.
+    """
+    rows = cells.groupBy("table_id", "row").agg(F.bool_or(F.coalesce(F.col("text").rlike(LEADER), F.lit(True))).alias("leader"))
+    keep = rows.groupBy("table_id").agg(F.array_sort(F.collect_list(F.when(~F.col("leader"), F.col("row")))).alias("kept")).where("size(kept) >= 2")
+    keep = cut(keep)
+    # rows are mostly numbered without gaps, so that a row's place is tried before it is looked for
+    place = F.when(F.try_element_at("kept", F.col("row").cast("int") + 1) == F.col("row"), F.col("row").cast("int")).otherwise((F.array_position("kept", F.col("row")) - 1).cast("int"))
+    out = cells.join(keep, "table_id").withColumn("_new", place).where("_new >= 0").withColumn("row", F.col("_new")).drop("_new", "kept")
+    return tables.join(keep, "table_id").withColumn("rows", F.size("kept")).drop("kept"), out
 
 
 def figures(cells: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -20,6 +21,15 @@ from .config import DEFAULT, Config
 KEYS = ["doc_id", "page_num"]
 
 
+def as_it_is(df: DataFrame) -> DataFrame:
+    return df
+
+
+def in_few_files(cut: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    """The same cut for rows without texts, which are dealt anew by size: each file written costs an executor a process."""
+    return cut if cut is as_it_is else lambda df: cut(df.hint("rebalance"))
+
+
 class Parsed(NamedTuple):
     blocks: DataFrame  # paragraphs with type, level, ids and parents
     pages: DataFrame  # page types
@@ -36,14 +46,27 @@ class Parsed(NamedTuple):
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Writes df to the checkpoint folder that driver and executors share and goes on from there; on one machine, if none is set, to a temporary one."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        root = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not root and not sc.master.startswith("local"):
+    """Writes df as Parquet below spark.checkpoint.dir, which driver and executors share, and goes on from there; on one machine, if none is set, to a temporary folder."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(root or tempfile.mkdtemp(prefix="pageloom-"))
-    return df.checkpoint()
+        root = "file://" + tempfile.mkdtemp(prefix="pageloom-")
+        spark.sparkContext.setCheckpointDir(root)
+    path = f"{root.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    spark._jvm.System.gc()  # Spark then drops the shuffle files of jobs that are done
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes what ``checkpointed`` has written for df, whose last reader is done; does nothing to other rows."""
+    if path := getattr(df, "_written_to", None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def with_recognized(blocks: DataFrame, recognized: DataFrame, kinds: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -58,16 +81,15 @@ def with_recognized(blocks: DataFrame, recognized: DataFrame, kinds: DataFrame,
 
 def in_reading_order(lines: DataFrame, boxes: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:
     """Lines numbered anew in reading order: by layout boxes on pages that have any, else by columns."""
-    cols = layout.in_column_order(lines, layout.columns(lines)).drop("column", "n_columns")
-    if boxes is None:
-        return cols.withColumn("seq", F.col("read_order").cast("int")).drop("read_order")
-    by_box = layout.in_layout_order(lines, boxes, cfg).withColumnRenamed("read_order", "_box_order")
-    has = boxes.select(*KEYS, F.lit(True).alias("_has")).distinct()
-    j = cols.join(by_box, [*KEYS, "seq"]).join(has, KEYS, "left")
-    return j.withColumn("seq", F.when(F.col("_has"), F.col("_box_order")).otherwise(F.col("read_order")).cast("int")).drop("read_order", "_box_order", "_has")
+    bounds = layout.columns(lines)
+    if boxes is not None:
+        bounds = bounds.join(layout.layout_orders(lines, boxes, cfg).where("has_boxes").select(*KEYS, "seqs"), KEYS, "left")
+    cols = layout.in_column_order(lines, bounds).drop("column", "n_columns")
+    order = F.col("read_order") if boxes is None else F.coalesce(F.nullif(F.array_position("seqs", F.col("seq")), F.lit(0)), F.col("read_order"))
+    return cols.withColumn("seq", order.cast("int")).drop("read_order", "seqs")
 
 
-def paragraphs_of(lines: DataFrame, fonts: DataFrame, boxes: DataFrame | None = None, recognized: bool = False, cfg: Config = DEFAULT) -> DataFrame:
+def paragraphs_of(lines: DataFrame, fonts: DataFrame, boxes: DataFrame | None = None, recognized: bool = False, cfg: Config = DEFAULT, cut: Callable[[DataFrame], DataFrame] = as_it_is) -> DataFrame:
     """Paragraphs by page type: digital lines are classified, then merged; others merged, then classified; covers and tables of contents stay as they are."""
 
     def labelled(b: DataFrame) -> tuple[DataFrame, str | None]:
@@ -79,7 +101,7 @@ def paragraphs_of(lines: DataFrame, fonts: DataFrame, boxes: DataFrame | None =
     b, label = labelled(lines.where("page_type = 'digital'"))
     digital = structure.merged_lines(classify.classified(b, fonts, label), fonts, cfg)
     cols = digital.columns
-    b, label = labelled(structure.merged_lines(plain(lines.where("page_type IN ('scanned', 'mixed')")), fonts, cfg).drop("block_type", "heading_level"))
+    b, label = labelled(cut(structure.merged_lines(plain(lines.where("page_type IN ('scanned', 'mixed')")), fonts, cfg).drop("block_type", "heading_level")))
     other = classify.classified(b, fonts, label)
     if recognized:
         titles = boxes if boxes is not None else lines.sparkSession.createDataFrame([], ports.BOXES)
@@ -88,15 +110,22 @@ def paragraphs_of(lines: DataFrame, fonts: DataFrame, boxes: DataFrame | None =
     return digital.unionByName(other.select(*cols)).unionByName(marked.select(*cols))
 
 
-def shown_tables(tables: DataFrame, cells: DataFrame, cfg: Config = DEFAULT, cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
+def shown_tables(tables: DataFrame, cells: DataFrame, cfg: Config = DEFAULT, cut: Callable[[DataFrame], DataFrame] = as_it_is) -> tuple[DataFrame, DataFrame]:
     """Tables without frames of layout, rows of a table of contents and copies; one that goes on from the page before is part of that one."""
-    t, c = map(cut, T.without_leader_rows(T.genuine(tables, cells), cells))
-    t = overlap.distinct_tables(t, T.content_hash(c))
+    few = in_few_files(cut)
+    t, c = T.without_leader_rows(T.genuine(tables, cells), cells, few)
+    every = few(t), cut(c)
+    t = few(overlap.distinct_tables(every[0], T.content_hash(every[1])))
+    c = every[1]
     c = c.join(t.select("table_id"), "table_id", "left_semi")
-    joins = T.across_pages(t, c, cfg)
+    joins = few(T.across_pages(t, c, cfg))
     c = T.joined_cells(c, joins)
+    c = cut(c)
     size = c.groupBy("table_id").agg((F.max("row") + 1).cast("int").alias("_rows"))
-    return t.join(joins.select("table_id"), "table_id", "left_anti").join(size, "table_id").withColumn("rows", F.col("_rows")).drop("_rows"), c
+    shown = few(t.join(joins.select("table_id"), "table_id", "left_anti").join(size, "table_id").withColumn("rows", F.col("_rows")).drop("_rows"))
+    for df in (*every, t, joins):
+        discarded(df)
+    return shown, c
 
 
 def shown_images(images: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -105,11 +134,11 @@ def shown_images(images: DataFrame, blocks: DataFrame, cfg: Config = DEFAULT) ->
     return i if "alt_text" in i.columns else i.withColumn("alt_text", F.lit(None).cast("string"))
 
 
-def assembled(blocks: DataFrame, kinds: DataFrame | None = None, tables: DataFrame | None = None, cells: DataFrame | None = None, images: DataFrame | None = None, codecs: bool = True) -> DataFrame:
-    """doc_id, page_num, markdown: text outside tables, tables and images from top to bottom; covers and tables of contents below a mark."""
+def assembled(blocks: DataFrame, kinds: DataFrame | None = None, tables: DataFrame | None = None, cells: DataFrame | None = None, images: DataFrame | None = None, codecs: bool = True, shown: DataFrame | None = None) -> DataFrame:
+    """doc_id, page_num, markdown: text outside tables, tables and images from top to bottom; covers and tables of contents below a mark. ``shown``: the tables' Markdown, if it is known."""
     md, rest = None, blocks
     if tables is not None:
-        md = tables.select(*KEYS, "y0", "table_id").join(T.markdown(tables, cells).select("table_id", "markdown"), "table_id")
+        md = tables.select(*KEYS, "y0", "table_id").join((T.markdown(tables, cells) if shown is None else shown).select("table_id", "markdown"), "table_id")
         rest = layout.outside(rest, tables)
     if kinds is None:
         return render.page_markdown(rest, md, codecs, images)
@@ -119,12 +148,12 @@ def assembled(blocks: DataFrame, kinds: DataFrame | None = None, tables: DataFra
     return out.unionByName(render.marker_page(own(blocks, "cover"), render.COVER)).unionByName(render.marker_page(own(blocks, "toc"), render.TOC))
 
 
-def with_tables_and_images(tree: DataFrame, sections: DataFrame, tables: DataFrame | None, cells: DataFrame | None, images: DataFrame | None) -> DataFrame:
+def with_tables_and_images(tree: DataFrame, sections: DataFrame, tables: DataFrame | None, cells: DataFrame | None, images: DataFrame | None, shown: DataFrame | None = None) -> DataFrame:
     """The tree with tables, forms and figures in the sections (doc_id, ord, y0) that begin last above them."""
     items = None
     if tables is not None:
         forms = T.form_like(tables, cells)
-        md = tables.join(T.markdown(tables, cells).select("table_id", "markdown"), "table_id").join(forms, "table_id")
+        md = tables.join((T.markdown(tables, cells) if shown is None else shown).select("table_id", "markdown"), "table_id").join(forms, "table_id")
         items = md.select("doc_id", F.col("table_id").cast("long").alias("item"), F.when(F.col("is_form"), "form").otherwise("table").alias("node_type"), F.col("markdown").alias("text"), "y0")
     if images is not None:
         text = F.coalesce(F.nullif(F.trim("alt_text"), F.lit("")), results.image_markdown(F.col("caption"), F.col("page_num"), F.col("block_id")))
@@ -135,26 +164,35 @@ def with_tables_and_images(tree: DataFrame, sections: DataFrame, tables: DataFra
 
 def parse_blocks(
     blocks: DataFrame, page_rows: DataFrame, cfg: Config = DEFAULT, *, tables: DataFrame | None = None, cells: DataFrame | None = None,
-    images: DataFrame | None = None, boxes: DataFrame | None = None, recognized: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+    images: DataFrame | None = None, boxes: DataFrame | None = None, recognized: DataFrame | None = None, cut: Callable[[DataFrame], DataFrame] = as_it_is,
 ) -> Parsed:
     """Parses positioned lines (see sources.adapters.lines for their columns) and pages (see sources.adapters.pages), with what else is known of the pages: tables and their cells, images, layout boxes, recognised blocks.
 
-    All of it is lazy. ``cut`` is given what several outputs share (lines, paragraphs, tables); with ``checkpointed`` each is worked out once.
+    All of it is lazy. ``cut`` is given what several outputs share (page types, lines, paragraphs, tables, images, pages' Markdown); with ``checkpointed`` each is worked out once.
     """
-    kinds = pages.typed(page_rows, blocks, cfg).select(*KEYS, "page_type", F.length(X.strip(F.col("raw_text"))).alias("n_chars"), "width", "height")
+    chars = page_rows.withColumn("n_chars", F.length(X.strip(F.col("raw_text"))))
+    few = in_few_files(cut)
+    kinds = few(pages.typed(chars, blocks, cfg).select(*KEYS, "page_type", "n_chars", "width", "height"))
     source = blocks if recognized is None else with_recognized(blocks, recognized, kinds, cfg)
     marked = noise.classified(source, noise.learned(blocks, cfg), cfg)
     if boxes is not None:
         marked = noise.with_layout(marked, boxes, cfg)
-    lines = noise.kept(marked).join(kinds.where("page_type <> 'noise'").select(*KEYS, "page_type"), KEYS)
-    fonts = pages.font_stats(blocks)
-    merged = paragraphs_of(cut(in_reading_order(cut(lines), boxes, cfg)), fonts, boxes, recognized is not None, cfg)
+    fonts = few(pages.font_stats(blocks))
+    lines = cut(noise.kept(marked).join(kinds.where("page_type <> 'noise'").select(*KEYS, "page_type"), KEYS))
+    ordered = cut(in_reading_order(lines, boxes, cfg))
+    discarded(lines)
+    used = [ordered]
+    merged = paragraphs_of(ordered, fonts, boxes, recognized is not None, cfg, lambda df: used.append(cut(df)) or used[-1])
     paragraphs = cut(structure.hierarchy(structure.promoted(merged)))
+    for df in used:
+        discarded(df)
+    table_md = None
     if tables is not None:
-        tables, cells = map(cut, shown_tables(tables, cells, cfg, cut))
+        tables, cells = shown_tables(tables, cells, cfg, cut)
+        table_md = cut(T.markdown(tables, cells))
     if images is not None:
-        images = shown_images(images, paragraphs, cfg)
-    page_md = assembled(paragraphs, kinds, tables, cells, images)
+        images = cut(shown_images(images, paragraphs, cfg))
+    page_md = cut(assembled(paragraphs, kinds, tables, cells, images, shown=table_md))
     markdown = render.post_processed(page_md)
     tree = render.tree(paragraphs)
     if tables is not None or images is not None:
@@ -162,7 +200,7 @@ def parse_blocks(
         # sections and their heights, numbered as render.tree numbers them
         shown = paragraphs.where(~F.col("block_type").isin(*render.SKIPPED, "footnote") & (X.strip(F.col("text")) != "")).withColumn("ord", ord_)
         sections = shown.select("doc_id", "ord", "y0").join(tree.where("node_type = 'section'").select("doc_id", "ord"), ["doc_id", "ord"], "left_semi")
-        tree = with_tables_and_images(tree, sections, tables, cells, images)
+        tree = with_tables_and_images(tree, sections, tables, cells, images, table_md)
     stats = metrics.parse_stats(paragraphs, markdown)
     return Parsed(paragraphs, kinds.select(*KEYS, "page_type"), metrics.page_confidence(paragraphs, kinds), noise.stats(marked), page_md, markdown, tree, stats, metrics.anomalies(stats), tables, cells, images)
 

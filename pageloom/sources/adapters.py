@@ -65,8 +65,10 @@ def cells(lineitem: DataFrame) -> DataFrame:
         F.col("l_orderkey").alias("table_id"), "row",
         F.array(F.when(F.col("l_partkey") % 7 == 0, "").otherwise(F.col("l_partkey").cast("string")), F.col("l_quantity").cast("int").cast("string"), F.col("l_returnflag"), F.floor("l_extendedprice").cast("long").cast("string")).alias("c"),
     )
-    head = lineitem.select(F.col("l_orderkey").alias("table_id")).distinct().select("table_id", F.lit(0).alias("row"), F.array(*map(F.lit, ("part", "qty", "flag", "price"))).alias("c"))
-    return head.unionByName(rows).select("table_id", "row", F.posexplode("c").alias("col", "text"))
+    # the header comes with an order's first row, so that all stays dealt by order
+    head, own = F.struct(F.lit(0).alias("row"), F.array(*map(F.lit, ("part", "qty", "flag", "price"))).alias("c")), F.struct("row", "c")
+    rows = rows.select("table_id", F.explode(F.when(F.col("row") == 1, F.array(head, own)).otherwise(F.array(own))).alias("r"))
+    return rows.select("table_id", "r.row", F.posexplode("r.c").alias("col", "text"))
 
 
 def tables(grid: DataFrame, orders: DataFrame) -> DataFrame:

@@ -268,3 +268,49 @@ def test_whole_plan(spark):
     assert at == sorted(at) and "inside the table" not in md
     kinds = [x.node_type for x in out.tree.collect()]
     assert kinds.count("table") == 1 and kinds.count("figure") == 1 and kinds.count("section") >= 1
+
+
+def test_boxes_of_pages_without_python_groups(spark):
+    """What is kept, and the order by boxes, equal plain loops over each page; no page is a Python group, which took most of the whole plan's time."""
+    import random
+
+    from pageloom.operators import layout
+
+    rnd = random.Random(5)
+    rows = [(d, p, i, x := float(rnd.randrange(0, 30)), y := float(rnd.randrange(0, 30)), x + rnd.randrange(0, 25), y + rnd.randrange(0, 25)) for d in range(4) for p in range(1, 5) for i in range(rnd.randrange(1, 9))]
+    found = [(d, p, i, x - 1, y - 1, x1 + 1, y1 + 2) for d, p, i, x, y, x1, y1 in rows if p < 4 and i % 2 == 0]
+
+    def share(a, b, smaller=False):
+        (ax, ay, ax1, ay1), (bx, by, bx1, by1) = a[3:], b[3:]
+        both = max(0.0, min(ax1, bx1) - max(ax, bx)) * max(0.0, min(ay1, by1) - max(ay, by))
+        sizes = ((ax1 - ax) * (ay1 - ay), (bx1 - bx) * (by1 - by))
+        base = min(sizes) if smaller else sum(sizes) - both
+        return both / base if base > 0 else 0.0
+
+    pages = sorted({r[:2] for r in rows})
+    own = lambda rs, k: [r for r in rs if r[:2] == k]
+    blocks, boxes = spark.createDataFrame(rows, BOX), spark.createDataFrame(found, BOX).withColumnRenamed("seq", "ord")
+    for smaller, limit in ((False, 0.3), (True, 0.5)):
+        kept = []
+        for k in pages:
+            on = []
+            for r in own(rows, k):
+                if all(share(r, o, smaller) <= limit for o in on):
+                    on.append(r)
+            kept += [r[:3] for r in on]
+        got = overlap.first_of_overlapping(blocks, "seq", limit, smaller)
+        assert sorted(map(tuple, got.collect())) == kept and len(kept) < len(rows)
+        assert "Pandas" not in got._jdf.queryExecution().toString()
+    want = []
+    for k in pages:
+        free, out = own(rows, k), []
+        for r in own(found, k):
+            best = max(free, key=lambda t: (share(r, t), -t[2]), default=None)
+            if best and share(r, best) >= 0.3:
+                out.append(best)
+                free.remove(best)
+        out += sorted(free, key=lambda t: (t[4], t[3])) if own(found, k) else free
+        want += [(*r[:3], i) for i, r in enumerate(out, 1)]
+    got = layout.in_layout_order(blocks, boxes)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert "Pandas" not in got._jdf.queryExecution().toString()
