@@ -84,6 +84,54 @@ def test_encoder_equals_tokenizer():
         assert [np.frombuffer(x, np.uint32).tolist() for x in enc.encode(texts)] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_equals_tokenizer_on_odd_strings(monkeypatch):
+    """Tables that overflow, and long texts cut into slices of a few bytes, where a cut inside white space would show."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, tok = random.Random(4), Tokenizer.from_file(packing.tokenizer_path())
+    signs = [*"aabrestTHE 019  \n\n\r\t\x0b''.,!|<>()-_\"\x00\x7f", "é", "×", "÷", "ÿ", "ɏ", "ɀ", "ª", "²", "\u0301", "ж", "中", "—", " the", "'s", "'re", "'ll", "\x1c", "\x85", "\xa0", "\u2009", "\u3000", "<|endoftext|>"]
+    texts = ["".join(r.choices(r.sample(signs, r.randint(2, 12)), k=r.randint(0, 40))) for _ in range(1500)]
+    texts += ["".join(r.choices(signs[:-6], k=3000)), "a" * 3000, "x " * 1000, "b" + " " * 2000 + "y"]
+    want = [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+    for cache, size in ((1 << 20, 1 << 20), (50, 500), (3, 40)):
+        monkeypatch.setattr(packing, "SLICE_BYTES", size)
+        enc = packing.Encoder(packing.tokenizer_path(), cache=cache)
+        assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(texts)] == want
+
+
+def test_encoder_asks_for_a_part_once():
+    """Words with signs and digits about them, and words of up to 15 bytes, cost the tokenizer no more than the words."""
+    import random
+
+    enc = packing.Encoder(packing.tokenizer_path())
+    plain, asked = enc.tokenizer, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return plain.encode_batch_fast(texts, **more)
+
+    enc.tokenizer = Counted()
+    v = [*vocabulary(random.Random(2), 40), "responsibility", "incomprehensib"]
+    text = " ".join(f"{a}{x}{w}{b}" for w in v for a in ("", "(", "[", '"') for x in ("", "7-", "42/") for b in ("", ")", ".", '."', "_1", "]9"))
+    want = plain.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(enc.encode([text])[0], np.uint32).tolist() == want
+    assert sum(map(len, asked)) < len(text) / 10
+    asked.clear()
+    assert np.frombuffer(enc.encode([text])[0], np.uint32).tolist() == want and not asked
+
+
+def test_stored_ids_are_narrow_where_they_fit():
+    ids, first = np.array([1, 70000, 2, 65535], np.uint32), np.array([0, 2, 2, 4])
+    for x, n in ((ids, [8, 0, 4]), (ids[[0, 0, 2, 3]], [4, 0, 4])):
+        got = packing._binary(x, first).to_pylist()
+        assert list(map(len, got)) == n
+        for a, b, raw in zip(first, first[1:], got):
+            assert np.frombuffer(raw, np.uint16 if len(raw) == 2 * (b - a) else np.uint32).tolist() == x[a:b].tolist()
+
+
 def test_tiles_and_contamination(spark):
     item = " ".join(f"w{i}" for i in range(40))
     w = item.split()
